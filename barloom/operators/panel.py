@@ -181,3 +181,51 @@ def weighted_sum(terms: Sequence[tuple[float, Column]]) -> Column:
     for weight, term in terms:
         total = total + weight * term
     return total
+
+
+def block_lag(
+    df: DataFrame, by: Sequence[str], block: Column, order: Sequence[str], cols: dict[str, str], seen: str | None = None
+) -> DataFrame:
+    """Previous row's values (``cols``: output -> column) over unbounded groups.
+
+    The lag runs inside (key, block); the first row of a block takes the last
+    row of the nearest earlier block. ``seen`` adds a flag for having a previous row.
+    """
+    rest = F.struct(*[F.col(c).alias(o) for o, c in cols.items()])
+    work = df.withColumn("_block", block)
+    inside = Window.partitionBy(*by, "_block").orderBy(*order)
+    ends = work.groupBy(*by, "_block").agg(F.max_by(rest, F.struct(*order)).alias("_end"))
+    ends = ends.withColumn("_prev_end", F.lag("_end").over(Window.partitionBy(*by).orderBy("_block"))).drop("_end")
+    out = work.withColumn("_lag", F.lag(rest).over(inside)).join(ends, [*by, "_block"])
+    prev = F.coalesce("_lag", "_prev_end")
+    extra = [prev.isNotNull().alias(seen)] if seen else []
+    return out.select(*df.columns, *[prev[o].alias(o) for o in cols], *extra)
+
+
+def nearest_join(
+    left: DataFrame, right: DataFrame, by: Sequence[str], left_t: str, right_t: str, cols: Sequence[str]
+) -> DataFrame:
+    """Right row nearest in days (the earlier one on a tie), from a backward and a forward as-of join.
+
+    No pairs are formed: each side of the date is resolved by an ordered window.
+    """
+    pack = F.struct(*[F.col(c) for c in cols])
+    back = asof_join(left.select(*by, left_t).distinct(), right.withColumn("_b", pack), by, left_t, right_t, ["_b"])
+    epoch = F.date_diff(F.lit("1970-01-01").cast("date"), F.col(left_t))
+    repoch = F.date_diff(F.lit("1970-01-01").cast("date"), F.col(right_t))
+    ahead = asof_join(
+        left.select(*by, left_t).distinct().withColumn("_n", epoch),
+        right.select(*by, repoch.alias("_rn"), F.col(right_t).alias("_rt"), pack.alias("_f")),
+        by, "_n", "_rn", ["_rt", "_f"],
+    )
+    both = back.join(ahead, [*by, left_t])
+    db = F.date_diff(F.col(left_t), F.col(f"matched_{right_t}"))
+    df_ = F.date_diff(F.col("_rt"), F.col(left_t))
+    use_back = F.col("_rt").isNull() | (db <= df_)
+    picked = both.select(
+        *by, left_t,
+        F.when(use_back, F.col(f"matched_{right_t}")).otherwise(F.col("_rt")).alias(f"nearest_{right_t}"),
+        F.when(use_back, F.col("_b")).otherwise(F.col("_f")).alias("_hit"),
+    )
+    found = picked.select(*by, left_t, f"nearest_{right_t}", *[F.col(f"_hit.{c}") for c in cols])
+    return left.join(found, [*by, left_t], "left")

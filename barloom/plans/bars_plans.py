@@ -88,7 +88,7 @@ def _(spark, sf):
         from (select e.symbol, date_trunc('week', e.session_date)::date as period, count(*) as expected, count(d.trade_date) as actual,
             count(*) filter (d.trade_date is null and e.session_date <= date '{AS_OF}') as missing_past,
             count(*) filter (d.trade_date is null and e.session_date > date '{AS_OF}') as missing_future
-          from (select s.symbol, c.session_date from (select symbol, date_trunc('week', min(trade_date)) lo, date_trunc('week', max(trade_date)) + 6 hi from d where trade_date <= date '{AS_OF}' group by symbol) s join cal c on c.session_date between lo and hi) e
+          from (select s.symbol, c.session_date from (select symbol, date_trunc('week', min(trade_date)) lo, date_trunc('week', max(trade_date))::date + 6 as hi from d where trade_date <= date '{AS_OF}' group by symbol) s join cal c on c.session_date between lo and hi) e
           left join (select * from d where trade_date <= date '{AS_OF}') d on d.symbol = e.symbol and d.trade_date = e.session_date group by 1, 2)"""
     ),
 )
@@ -163,7 +163,7 @@ def _(spark, sf):
         union all
         select symbol, {day("date_trunc('week', date '" + AS_OF + "')::date")}, {r('arg_max(close, trade_date)')}, count(*) from d
         where symbol not like 'N%' and trade_date between date_trunc('week', date '{AS_OF}') and date '{AS_OF}'
-          and symbol not in (select symbol from d where trade_date > date '{AS_OF}' and trade_date < date_trunc('week', date '{AS_OF}') + 7) group by symbol"""
+          and symbol not in (select symbol from d where trade_date > date '{AS_OF}' and trade_date < date_trunc('week', date '{AS_OF}')::date + 7) group by symbol"""
     ),
 )
 def _(spark, sf):

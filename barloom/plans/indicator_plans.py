@@ -153,13 +153,13 @@ def _(spark, sf):
     "W-09 W-11",
     with_views(
         f"""select {KEY}, {r('dd')} as current_drawdown, {r('least(0, min(dd) over (partition by symbol order by trade_date))')} as running_drawdown,
-          {r('cum')} as cumulative_return, {r('case when rn = 1 then 0 else pow(1 + cum, 52.0 / (rn - 1)) - 1 end', 4)} as annualized_return
+          {r('cum')} as cumulative_return, {r('case when rn = 1 then 0 else least(exp(ln(1 + cum) * 52 / (rn - 1)) - 1, 1000) end')} as annualized_return
         from (select symbol, trade_date, rn, close / max(close) over o - 1 as dd, close / first_value(close) over o - 1 as cum from wn {O})"""
     ),
 )
 def _(spark, sf):
     w = I.returns_since_start(I.drawdown(V.bars_weekly(spark, sf)), 52)
-    return w.select("symbol", "trade_date", "current_drawdown", "running_drawdown", "cumulative_return", S.cut("annualized_return", 4).alias("annualized_return"))
+    return w.select("symbol", "trade_date", "current_drawdown", "running_drawdown", "cumulative_return", F.least("annualized_return", F.lit(1000.0)).alias("annualized_return"))
 
 
 @REG.add(
