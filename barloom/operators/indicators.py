@@ -220,30 +220,35 @@ def with_true_range(df: DataFrame, by: Sequence[str] = BY, t: str = T) -> DataFr
 
 # ---- local fits -------------------------------------------------------------
 
-def _fixed_fit(c, weights: Sequence[float], by, t) -> Column:
-    """Dot product of the trailing rows with constant weights, oldest first.
+def _over(by, t, n: int) -> str:
+    keys = ", ".join(f"`{k}`" for k in by)
+    order = ", ".join(f"`{k}`" for k in ([t] if isinstance(t, str) else t))
+    return f"over (partition by {keys} order by {order} rows between {n - 1} preceding and current row)"
+
+
+def _fixed_fit(c: str, weights: Sequence[float], by, t) -> Column:
+    """Dot product of the last len(weights) values with constant weights, NULL while one is missing.
 
     Short fits are a handful of lags; long ones fold the frame array, which holds
-    len(weights) values, so that the plan does not grow with the window.
+    len(weights) values, so that the plan does not grow with the window. Written
+    as one SQL expression: hundreds of such columns make up a feature row.
     """
     n = len(weights)
+    frame = _over(by, t, n)
     if n > 8:
-        frame = F.collect_list(as_col(c)).over(trailing(n, by, t))
-        products = F.zip_with(frame, F.array(*[F.lit(w) for w in weights]), lambda x, w: x * w)
-        return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-    w = ordered(by, t)
-    terms = [F.lit(weight) * F.lag(as_col(c), n - 1 - i).over(w) for i, weight in enumerate(weights)]
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
+        grid = ", ".join(f"{w!r}D" for w in weights)
+        dot = f"aggregate(zip_with(collect_list(`{c}`) {frame}, array({grid}), (x, w) -> x * w), 0D, (acc, x) -> acc + x)"
+    else:
+        order = frame[: frame.index(" rows")] + ")"
+        dot = " + ".join(f"({w!r}D) * lag(`{c}`, {n - 1 - i}) {order}" for i, w in enumerate(weights))
+    return F.expr(f"case when count(`{c}`) {frame} = {n} then {dot} end")
 
 
-def _guard(value: Column, c, n: int, by, t) -> Column:
-    return F.when(F.count(as_col(c)).over(trailing(n, by, t)) == n, value)
+def _scaled(value: Column, scale) -> Column:
+    return value if scale is None else value / F.greatest(F.abs(as_col(scale)), F.lit(1e-12))
 
 
-def slope(c, n: int, scale=None, by: Sequence[str] = BY, t: str = T) -> Column:
+def slope(c: str, n: int, scale=None, by: Sequence[str] = BY, t: str = T) -> Column:
     """Least-squares slope of the last n rows per step, over |scale|.
 
     The grid is fixed, so the slope is a constant-weight sum of the rows:
@@ -251,8 +256,7 @@ def slope(c, n: int, scale=None, by: Sequence[str] = BY, t: str = T) -> Column:
     """
     mean = (n - 1) / 2.0
     norm = sum((i - mean) ** 2 for i in range(n))
-    value = _guard(_fixed_fit(c, [(i - mean) / norm for i in range(n)], by, t), c, n, by, t)
-    return value if scale is None else value / F.greatest(F.abs(as_col(scale)), F.lit(1e-12))
+    return _scaled(_fixed_fit(c, [(i - mean) / norm for i in range(n)], by, t), scale)
 
 
 def _quadratic_weights(n: int) -> tuple[list[float], list[float], list[float]]:
@@ -264,11 +268,10 @@ def _quadratic_weights(n: int) -> tuple[list[float], list[float], list[float]]:
     return tuple(list(map(float, row)) for row in pinv)
 
 
-def curvature(c, n: int, scale=None, by: Sequence[str] = BY, t: str = T) -> Column:
+def curvature(c: str, n: int, scale=None, by: Sequence[str] = BY, t: str = T) -> Column:
     """Second derivative 2a of the quadratic fit to the last n rows, over |scale|."""
     a, _, _ = _quadratic_weights(n)
-    value = _guard(2.0 * _fixed_fit(c, a, by, t), c, n, by, t)
-    return value if scale is None else value / F.greatest(F.abs(as_col(scale)), F.lit(1e-12))
+    return _scaled(_fixed_fit(c, [2.0 * w for w in a], by, t), scale)
 
 
 def quad_turn(df: DataFrame, c: str, n: int, scale: str, prefix: str, by: Sequence[str] = BY, t: str = T) -> DataFrame:
@@ -279,7 +282,7 @@ def quad_turn(df: DataFrame, c: str, n: int, scale: str, prefix: str, by: Sequen
     wa, wb, wc = _quadratic_weights(n)
     unit = F.greatest(F.abs(F.col(scale)), F.lit(1e-12))
     out = df.withColumns(
-        {f"{prefix}_{k}": _guard(_fixed_fit(c, wts, by, t), c, n, by, t) / unit for k, wts in zip("abc", (wa, wb, wc))}
+        {f"{prefix}_{k}": _fixed_fit(c, wts, by, t) / unit for k, wts in zip("abc", (wa, wb, wc))}
     )
     a, b, cc = (F.col(f"{prefix}_{k}") for k in "abc")
     curved = F.abs(a) >= 1e-10
@@ -357,7 +360,7 @@ def dif_regime(df: DataFrame, by: Sequence[str] = BY, t: str = T) -> DataFrame:
 def divergence(p: str, o: str, n: int, by: Sequence[str] = BY, t: str = T) -> Column:
     """Gap of price and oscillator slope (capped at 1), negative when they point apart."""
     sp, so = slope(p, n, p, by, t), slope(o, n, p, by, t)
-    size = F.least(F.abs(sp - so), F.lit(1.0))
+    size = F.when(sp.isNotNull() & so.isNotNull(), F.least(F.abs(sp - so), F.lit(1.0)))
     return F.when(sp * so < 0, -size).otherwise(size)
 
 
@@ -396,26 +399,25 @@ def volume_ratio_blocks(recent: int, total: int, c: str = "volume", by: Sequence
 def volume_regime(df: DataFrame, n: int = 13, by: Sequence[str] = BY, t: str = T) -> DataFrame:
     """Up/down volume gap over the median volume; breakout and shrink flags from the volume z-score."""
     f, fz = trailing(n + 1, by, t), trailing(n, by, t)
-    w = ordered(by, t)
-    work = df.withColumn("_ret", ret("close", 1, by, t)).withColumn("_rn", F.row_number().over(w))
+    work = df.withColumn("_vr", ret("close", 1, by, t))
     # The frame has n+1 rows, its first return lies before it: the rows 2..n+1 are the last n.
     ready = F.count("volume").over(f) == n + 1
     median = F.expr(
         f"percentile(volume, 0.5) over (partition by {', '.join(by)} order by {t} rows between {n} preceding and current row)"
     )
-    up = F.avg(F.when(F.col("_ret") > 0, F.col("volume"))).over(fz)
-    down = F.avg(F.when(F.col("_ret") < 0, F.col("volume"))).over(fz)
+    up = F.avg(F.when(F.col("_vr") > 0, F.col("volume"))).over(fz)
+    down = F.avg(F.when(F.col("_vr") < 0, F.col("volume"))).over(fz)
     work = work.withColumns({"_z": zscore("volume", n, by, t), "_med": median, "_ready": ready, "_gap": up - down})
     flag = lambda cond: F.when(F.col("_ready"), F.coalesce(cond, F.lit(False)).cast("int"))
     return work.withColumns(
         {
             "up_down_volume": F.when(F.col("_ready") & (F.col("_med") > 0), F.col("_gap") / F.when(F.col("_med") > 0, F.col("_med"))),
-            "breakout_up": flag((F.col("_z") > 1.0) & (F.col("_ret") > 0)),
-            "breakout_down": flag((F.col("_z") > 1.0) & (F.col("_ret") < 0)),
-            "shrink_rebound": flag((F.col("_z") < -0.5) & (F.col("_ret") > 0)),
-            "shrink_pullback": flag((F.col("_z") < -0.5) & (F.col("_ret") < 0)),
+            "breakout_up": flag((F.col("_z") > 1.0) & (F.col("_vr") > 0)),
+            "breakout_down": flag((F.col("_z") > 1.0) & (F.col("_vr") < 0)),
+            "shrink_rebound": flag((F.col("_z") < -0.5) & (F.col("_vr") > 0)),
+            "shrink_pullback": flag((F.col("_z") < -0.5) & (F.col("_vr") < 0)),
         }
-    ).drop("_ret", "_rn", "_z", "_med", "_ready", "_gap")
+    ).drop("_vr", "_z", "_med", "_ready", "_gap")
 
 
 # ---- position of the price --------------------------------------------------

@@ -38,10 +38,6 @@ def before(by: Sequence[str] = BY, t: str | Sequence[str] = T) -> WindowSpec:
     return ordered(by, t).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def full_frame(value: Column, n: int, c: Column | str, w: WindowSpec) -> Column:
-    """value only where the frame holds n non-NULL entries of c."""
-    return F.when(F.count(as_col(c)).over(w) == n, value)
-
 
 # ---- runs -------------------------------------------------------------------
 
@@ -55,11 +51,10 @@ def run_length(
     """
     w, upto = ordered(by, t), running(by, t)
     return (
-        df.withColumn("_state", state)
-        .withColumn("_rn", F.row_number().over(w))
-        .withColumn("_start", F.when((F.col("_rn") == 1) | ~F.col("_state").eqNullSafe(F.lag("_state").over(w)), F.col("_rn")))
-        .withColumn(out, F.col("_rn") - F.last("_start", ignorenulls=True).over(upto) + 1)
-        .drop("_state", "_rn", "_start")
+        df.withColumns({"_rl_state": state, "_rl_row": F.row_number().over(w)})
+        .withColumn("_rl_start", F.when((F.col("_rl_row") == 1) | ~F.col("_rl_state").eqNullSafe(F.lag("_rl_state").over(w)), F.col("_rl_row")))
+        .withColumn(out, F.col("_rl_row") - F.last("_rl_start", ignorenulls=True).over(upto) + 1)
+        .drop("_rl_state", "_rl_row", "_rl_start")
     )
 
 

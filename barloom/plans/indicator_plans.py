@@ -271,7 +271,7 @@ def _(spark, sf):
     "price_dif_divergence",
     "W-20",
     with_views(
-        f"""select {KEY}, {r('case when sp * so < 0 then -least(abs(sp - so), 1) else least(abs(sp - so), 1) end')} as divergence_8
+        f"""select {KEY}, {r('case when sp * so < 0 then -least(abs(sp - so), 1) when sp is not null then least(abs(sp - so), 1) end')} as divergence_8
         from (select symbol, trade_date, {SLOPE('close', 8)} / close as sp, {SLOPE('dif', 8)} / close as so from macd_w)"""
     ),
 )

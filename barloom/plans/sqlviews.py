@@ -79,8 +79,13 @@ CTES: dict[str, str] = {
     "macd_w": "select *, 2 * (dif - dea) as hist from dea_w",
 }
 
-RECURSIVE = {"ema_w", "dea_w"}
-MATERIALIZED = {"d", "w", "m", "wn", "dn", "dif_w", "fc_r", "fc", "fc26", "macd_w"}
+for _name, _base in (("d", "dn"),):
+    CTES[f"ema_{_name}"] = CTES["ema_w"].replace("ema_w", f"ema_{_name}").replace("wn", _base)
+    CTES[f"dif_{_name}"] = CTES["dif_w"].replace("ema_w", f"ema_{_name}")
+    CTES[f"dea_{_name}"] = CTES["dea_w"].replace("dea_w", f"dea_{_name}").replace("dif_w", f"dif_{_name}")
+    CTES[f"macd_{_name}"] = CTES["macd_w"].replace("dea_w", f"dea_{_name}")
+
+MATERIALIZED = {"d", "w", "m", "wn", "dn", "dif_w", "dif_d", "fc_r", "fc", "fc26", "macd_w", "macd_d", "win", "fbase", "val"}
 
 
 def _needs(text: str, extra: dict[str, str]) -> list[str]:
