@@ -151,7 +151,9 @@ def block_scan(
     local = df.withColumn("_block", block)
     local = local.withColumns({f"_s_{k}": F.sum(v).over(upto) for k, v in sums.items()})
     if mins:
+        earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
         local = local.withColumns({f"_m_{k}": F.min(f"_s_{src}").over(upto) for k, src in mins.items()})
+        local = local.withColumns({f"_q_{k}": F.min(f"_s_{src}").over(earlier) for k, src in mins.items()})
     totals = df.withColumn("_block", block).groupBy(*by, "_block").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
     if mins:
         lows = local.groupBy(*by, "_block").agg(*[F.min(f"_m_{k}").alias(f"_l_{k}") for k in mins])
@@ -164,7 +166,51 @@ def block_scan(
     joined = local.join(carry, [*by, "_block"])
     out = {k: F.col(f"_o_{k}") + F.col(f"_s_{k}") for k in sums}
     out |= {k: F.least(F.col(f"_p_{k}"), F.col(f"_o_{src}") + F.col(f"_m_{k}")) for k, src in mins.items()}
-    return joined.withColumns(out).select(*df.columns, *sums, *mins)
+    out |= {f"{k}_before": F.least(F.col(f"_p_{k}"), F.col(f"_o_{src}") + F.col(f"_q_{k}")) for k, src in mins.items()}
+    return joined.withColumns(out).select(*df.columns, *sums, *mins, *[f"{k}_before" for k in mins])
+
+
+def affine_scan(df: DataFrame, by: Sequence[str], block: Column, order: Sequence[str], m: str, b: str, out: str) -> DataFrame:
+    """x = m * x_previous + b along each group, starting from 0, for 0 <= m <= 1.
+
+    Affine steps compose, so the scan is split like :func:`block_scan`. Inside a
+    (key, block) the recursion unrolls to P * sum(b / P) with P the product of
+    the m since the last m = 0; where P would leave the range of a double, a new
+    sub-block starts and takes over the last value, as for the moving averages.
+    Per key, only one (factor, value) pair per time block is folded.
+    """
+    keys = [*by, "_block"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    work = df.withColumn("_block", block).withColumns(
+        {
+            "_isl": F.count_if(F.col(m) == 0).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "_ln": F.when(F.col(m) > 0, F.log(m)).otherwise(0.0),
+        }
+    )
+    work = work.withColumn("_L", F.sum("_ln").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    work = work.withColumn("_sub", F.floor(-F.col("_L") / 300.0))
+    ws = Window.partitionBy(*keys, "_isl", "_sub").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    work = work.withColumn("_Lr", F.sum("_ln").over(ws))
+    work = work.withColumn("_loc", F.exp("_Lr") * F.sum(F.col(b) * F.exp(-F.col("_Lr"))).over(ws))
+    wi = Window.partitionBy(*keys, "_isl").orderBy(*order)
+    ends = F.when(F.lead("_sub").over(wi) != F.col("_sub"), F.col("_loc"))
+    work = work.withColumn("_end", ends)
+    prev_end = F.last("_end", ignorenulls=True).over(wi.rowsBetween(Window.unboundedPreceding, -1))
+    work = work.withColumn("_x", F.col("_loc") + F.coalesce(F.exp("_Lr") * prev_end, F.lit(0.0)))
+    work = work.withColumn("_f", F.when(F.col("_isl") > 0, 0.0).otherwise(F.exp("_L")))
+    tail = F.max_by(F.struct("_f", "_x"), F.struct(*order))
+    blocks = work.groupBy(*keys).agg(tail.alias("_t"))
+    per_key = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_block", F.col("_t._f").alias("f"), F.col("_t._x").alias("x")))).alias("_bs"))
+    empty = F.array().cast("array<double>")
+    # carry into block i: value at the end of block i-1
+    carry = F.aggregate(
+        "_bs", F.struct(empty.alias("ins"), F.lit(0.0).alias("x")),
+        lambda acc, e: F.struct(F.concat(acc["ins"], F.array(acc["x"])).alias("ins"), (e["f"] * acc["x"] + e["x"]).alias("x")),
+        lambda acc: acc["ins"],
+    )
+    ins = per_key.select(*by, F.inline(F.arrays_zip(F.transform("_bs", lambda e: e["_block"]).alias("_block"), carry.alias("_in"))))
+    joined = work.join(ins, keys)
+    return joined.withColumn(out, F.col("_x") + F.col("_f") * F.col("_in")).select(*df.columns, out)
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "name", value: str = "value") -> DataFrame:
