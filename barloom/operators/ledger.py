@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.scalar import as_col
-from barloom.operators.panel import affine_scan, asof_join, block_lag, block_scan, latest, ordered
+from barloom.operators.panel import affine_scan, asof_join, block_scan, latest, ordered
 from barloom.operators.pit import align_outer_ffill
 
 HOLDING = ("account_id", "symbol")
@@ -121,12 +121,11 @@ def ledger_fold(trades: DataFrame, order: Sequence[str], block: Column, by: Sequ
     t = affine_scan(t, by, block, order, "_m", "_b", "total_cost")
     kept = F.col("holding") > 0
     t = t.withColumn("average_cost", F.when(kept, F.col("total_cost") / F.when(kept, F.col("holding"))))
-    t = block_lag(t, by, block, order, {"_prev_cost": "total_cost"})
-    released = F.when(~buy, F.coalesce("_prev_cost", F.lit(0.0)) - F.col("total_cost"))
+    released = F.when(~buy, F.col("total_cost_before") - F.col("total_cost"))
     proceeds = F.when(F.col("executed") > 0, F.col("executed") * F.col("price") - F.col("fee")).otherwise(0.0)
     t = t.withColumn("realized_pnl", F.when(buy, 0.0).otherwise(proceeds - released))
     t = t.withColumn("cash_change", F.when(buy, -F.col("_b")).otherwise(proceeds))
-    return t.drop("_s", "_low", "_low_before", "_step", "_before", "_m", "_b", "_prev_cost")
+    return t.drop("_s", "_low", "_low_before", "_step", "_before", "_m", "_b", "total_cost_before")
 
 
 def account_totals(ledger: DataFrame, prices: DataFrame, order: Sequence[str], by: Sequence[str] = HOLDING) -> DataFrame:

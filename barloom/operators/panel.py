@@ -150,14 +150,17 @@ def block_scan(
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumn("_block", block)
     local = local.withColumns({f"_s_{k}": F.sum(v).over(upto) for k, v in sums.items()})
+    totals = [F.sum(v).alias(f"_t_{k}") for k, v in sums.items()]
     if mins:
         earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-        local = local.withColumns({f"_m_{k}": F.min(f"_s_{src}").over(upto) for k, src in mins.items()})
-        local = local.withColumns({f"_q_{k}": F.min(f"_s_{src}").over(earlier) for k, src in mins.items()})
-    totals = df.withColumn("_block", block).groupBy(*by, "_block").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
-    if mins:
-        lows = local.groupBy(*by, "_block").agg(*[F.min(f"_m_{k}").alias(f"_l_{k}") for k in mins])
-        totals = totals.join(lows, [*by, "_block"])
+        local = local.withColumns(
+            {f"_m_{k}": F.min(f"_s_{src}").over(upto) for k, src in mins.items()}
+            | {f"_q_{k}": F.min(f"_s_{src}").over(earlier) for k, src in mins.items()}
+        )
+        totals = local.groupBy(*by, "_block").agg(*totals, *[F.min(f"_s_{src}").alias(f"_l_{k}") for k, src in mins.items()])
+    else:
+        # no minima: totals come straight from the input, combined before the exchange
+        totals = df.withColumn("_block", block).groupBy(*by, "_block").agg(*totals)
     prior = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumns({f"_o_{k}": F.coalesce(F.sum(f"_t_{k}").over(prior), F.lit(0)) for k in sums})
     if mins:
@@ -177,24 +180,21 @@ def affine_scan(df: DataFrame, by: Sequence[str], block: Column, order: Sequence
     (key, block) the recursion unrolls to P * sum(b / P) with P the product of
     the m since the last m = 0; where P would leave the range of a double, a new
     sub-block starts and takes over the last value, as for the moving averages.
-    Per key, only one (factor, value) pair per time block is folded.
+    Per key, only one (factor, value) pair per time block is folded. Also returns
+    the value before each step as ``<out>_before``.
     """
     keys = [*by, "_block"]
     w = Window.partitionBy(*keys).orderBy(*order)
-    work = df.withColumn("_block", block).withColumns(
-        {
-            "_isl": F.count_if(F.col(m) == 0).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_ln": F.when(F.col(m) > 0, F.log(m)).otherwise(0.0),
-        }
-    )
-    work = work.withColumn("_L", F.sum("_ln").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    work = df.withColumns({"_block": block, "_ln": F.when(F.col(m) > 0, F.log(m)).otherwise(0.0)})
+    work = work.withColumns({"_isl": F.count_if(F.col(m) == 0).over(upto), "_L": F.sum("_ln").over(upto)})
     work = work.withColumn("_sub", F.floor(-F.col("_L") / 300.0))
-    ws = Window.partitionBy(*keys, "_isl", "_sub").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    work = work.withColumn("_Lr", F.sum("_ln").over(ws))
-    work = work.withColumn("_loc", F.exp("_Lr") * F.sum(F.col(b) * F.exp(-F.col("_Lr"))).over(ws))
+    ws = Window.partitionBy(*keys, "_isl", "_sub").orderBy(*order)
     wi = Window.partitionBy(*keys, "_isl").orderBy(*order)
-    ends = F.when(F.lead("_sub").over(wi) != F.col("_sub"), F.col("_loc"))
-    work = work.withColumn("_end", ends)
+    # product within the sub-block: relative to the row before it, which is the first row's own factor undone
+    work = work.withColumn("_Lr", F.col("_L") - F.first(F.col("_L") - F.col("_ln")).over(ws.rowsBetween(Window.unboundedPreceding, 0)))
+    work = work.withColumn("_loc", F.exp("_Lr") * F.sum(F.col(b) * F.exp(-F.col("_Lr"))).over(ws.rowsBetween(Window.unboundedPreceding, 0)))
+    work = work.withColumn("_end", F.when(F.lead("_sub").over(wi) != F.col("_sub"), F.col("_loc")))
     prev_end = F.last("_end", ignorenulls=True).over(wi.rowsBetween(Window.unboundedPreceding, -1))
     work = work.withColumn("_x", F.col("_loc") + F.coalesce(F.exp("_Lr") * prev_end, F.lit(0.0)))
     work = work.withColumn("_f", F.when(F.col("_isl") > 0, 0.0).otherwise(F.exp("_L")))
@@ -209,8 +209,8 @@ def affine_scan(df: DataFrame, by: Sequence[str], block: Column, order: Sequence
         lambda acc: acc["ins"],
     )
     ins = per_key.select(*by, F.inline(F.arrays_zip(F.transform("_bs", lambda e: e["_block"]).alias("_block"), carry.alias("_in"))))
-    joined = work.join(ins, keys)
-    return joined.withColumn(out, F.col("_x") + F.col("_f") * F.col("_in")).select(*df.columns, out)
+    joined = work.join(ins, keys).withColumn(out, F.col("_x") + F.col("_f") * F.col("_in"))
+    return joined.withColumn(f"{out}_before", F.coalesce(F.lag(out).over(w), F.col("_in"))).select(*df.columns, out, f"{out}_before")
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "name", value: str = "value") -> DataFrame:
