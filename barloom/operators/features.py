@@ -93,8 +93,9 @@ def market_state(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     out = I.volatility(df, 13, 52, "pop", out="volatility_13", by=by)
     out = I.range_stats(out, by=by)
     out = out.withColumns(
-        {"_ma20": I.sma("close", 20, by=by), "ma20_slope": I.slope("close", 20, "close", by=by), "_ms_rn": F.row_number().over(ordered(by))}
+        {"_ma20": I.sma("close", 20, by=by), "_ms_rn": F.row_number().over(ordered(by))}
     )
+    out = out.withColumn("ma20_slope", I.slope("close", 20, "close", by, row="_ms_rn"))
     dd, rb, vol, sl = F.col("from_high"), F.col("rebound"), F.col("volatility_13"), F.col("ma20_slope")
     label = (
         F.when(dd <= -0.15, "DRAWDOWN")
@@ -122,6 +123,11 @@ def _base(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.withColumns({"_spread": F.col("dif") - F.col("dea"), "_ret": ret("close", 1, by), "_vchg": ret("volume", 1, by), "_rn": F.row_number().over(ordered(by))})
 
 
+def _with_slopes(df: DataFrame, spans: Sequence[int], by: Sequence[str]) -> DataFrame:
+    """Relative slopes the divergences share, computed once per column and span."""
+    return df.withColumns({f"_s_{c}_{n}": I.slope(c, n, "close", by, row="_rn") for c in ("close", "dif", "hist") for n in spans})
+
+
 def _strict_change(n: int, by: Sequence[str]) -> Column:
     """Volume change over n rows when none of them is missing."""
     f = trailing(n + 1, by)
@@ -145,14 +151,14 @@ def _oscillator_features(p: str, stable: Column | None, slopes: Sequence[int], c
         f"{p}_histogram_acceleration_5": I.curvature("hist", 5, "close", by),
     }
     for n in slopes:
-        cols[f"{p}_dif_slope_{n}"] = I.slope("dif", max(2, n), "close", by)
-        cols[f"{p}_dea_slope_{n}"] = I.slope("dea", max(2, n), "close", by)
+        cols[f"{p}_dif_slope_{n}"] = I.slope("dif", max(2, n), "close", by, row="_rn")
+        cols[f"{p}_dea_slope_{n}"] = I.slope("dea", max(2, n), "close", by, row="_rn")
     for n in curves:
         cols[f"{p}_dif_curvature_{n}"] = I.curvature("dif", n, "close", by)
         cols[f"{p}_dea_curvature_{n}"] = I.curvature("dea", n, "close", by)
     for n in spans:
-        cols[f"{p}_price_dif_divergence_{n}"] = I.divergence("close", "dif", n, by)
-        cols[f"{p}_price_macd_divergence_{n}"] = I.divergence("close", "hist", n, by)
+        for name, osc in (("dif", "dif"), ("macd", "hist")):
+            cols[f"{p}_price_{name}_divergence_{n}"] = I.slope_gap(F.col(f"_s_close_{n}"), F.col(f"_s_{osc}_{n}"))
     return cols if stable is None else {k: F.when(stable, v) for k, v in cols.items()}
 
 
@@ -166,6 +172,7 @@ def features_daily(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     for n in (20, 60):
         out = I.volatility(out, n, 252, "pop", out=f"daily_volatility_{n}", by=by)
     out = I.rsi(out, 14, "simple", out="daily_rsi14", by=by)
+    out = _with_slopes(out, (20, 40, 60), by)
     cols = _oscillator_features("daily", None, (3, 5, 10), (3, 5, 10), (20, 40, 60), by)
     cols |= _candle_features("daily")
     cols |= {f"daily_return_{n}": ret("close", n, by) for n in (1, 5, 20, 60)}
@@ -174,7 +181,7 @@ def features_daily(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     cols |= {
         "daily_atr14_ratio": I.atr(14, by) / F.col("close"),
         "daily_volume_zscore_20": I.zscore("volume", 20, by),
-        "daily_obv_slope_20": I.slope("obv", 20, F.greatest(F.abs("obv"), F.lit(1.0)), by),
+        "daily_obv_slope_20": I.slope("obv", 20, F.greatest(F.abs("obv"), F.lit(1.0)), by, row="_rn"),
         "daily_price_volume_correlation_20": I.rolling_corr("_ret", "_vchg", 20, by),
     }
     keep = [*by, "trade_date", "close", "daily_volatility_20", "daily_volatility_60", "daily_rsi14"]
@@ -186,6 +193,7 @@ def features_weekly(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     out = _base(df, by)
     for n in (4, 13, 20):
         out = I.volatility(out, n, 52, "pop", out=f"weekly_volatility_{n}", by=by)
+    out = _with_slopes(out, (4, 8, 13, 20), by)
     stable = F.col("_rn") >= MACD_STABLE_ROWS
     cols = _oscillator_features("weekly", stable, (1, 3, 5, 8), (3, 5, 8), (4, 8, 13, 20), by)
     cols |= _candle_features("weekly")
@@ -196,7 +204,7 @@ def features_weekly(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     cols |= {
         "weekly_atr14_ratio": I.atr(14, by) / F.col("close"),
         "weekly_drawdown_60": I.max_drawdown("close", 60, by=by),
-        "weekly_obv_slope_13": I.slope("obv", 13, F.greatest(F.abs("obv"), F.lit(1.0)), by),
+        "weekly_obv_slope_13": I.slope("obv", 13, F.greatest(F.abs("obv"), F.lit(1.0)), by, row="_rn"),
         "weekly_price_volume_correlation_13": I.rolling_corr("_ret", "_vchg", 13, by),
     }
     keep = [*by, "trade_date", "close", *[f"weekly_volatility_{n}" for n in (4, 13, 20)]]
@@ -229,7 +237,7 @@ def features_state(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
         "dif_dea_distance": (F.col("dif") - F.col("dea")) / (F.abs("dif") + F.abs("dea") + 1e-12),
     }
     cols = {f"ret_{n}": ret("close", n, by) for n in (1, 2, 4, 8, 13, 26)}
-    cols |= {f"ma{n}_slope": I.slope("close", n, "close", by) for n in (5, 10, 60)}
+    cols |= {f"ma{n}_slope": I.slope("close", n, "close", by, row="_rn") for n in (5, 10, 60)}
     cols |= {k: F.when(stable, v) for k, v in macd_cols.items()}
     cols |= {
         "atr_pct": I.atr(14, by) / scale,
@@ -238,7 +246,7 @@ def features_state(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
         "volume_zscore_52": I.zscore("volume", 52, by),
         "volume_change_4": ret("volume", 4, by),
         "volume_change_8": ret("volume", 8, by),
-        "obv_slope_13": I.slope("obv", 13, F.greatest(F.abs("obv"), F.lit(1.0)), by),
+        "obv_slope_13": I.slope("obv", 13, F.greatest(F.abs("obv"), F.lit(1.0)), by, row="_rn"),
         "price_volume_correlation_13": I.rolling_corr("_ret", "_vchg", 13, by),
     }
     keep = [

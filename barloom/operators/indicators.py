@@ -248,12 +248,16 @@ def _scaled(value: Column, scale) -> Column:
     return value if scale is None else value / F.greatest(F.abs(as_col(scale)), F.lit(1e-12))
 
 
-def slope(c: str, n: int, scale=None, by: Sequence[str] = BY, t: str = T) -> Column:
+def slope(c: str, n: int, scale=None, by: Sequence[str] = BY, t: str = T, row: str | None = None) -> Column:
     """Least-squares slope of the last n rows per step, over |scale|.
 
     The grid is fixed, so the slope is a constant-weight sum of the rows:
-    weight_i = (i - mean) / sum((i - mean)^2).
+    weight_i = (i - mean) / sum((i - mean)^2). With ``row`` naming a row-number
+    column, long windows use the built-in regression instead of an array fold.
     """
+    if row is not None and n > 8:
+        frame = _over(by, t, n)
+        return _scaled(F.expr(f"case when count(`{c}`) {frame} = {n} then regr_slope(`{c}`, `{row}`) {frame} end"), scale)
     mean = (n - 1) / 2.0
     norm = sum((i - mean) ** 2 for i in range(n))
     return _scaled(_fixed_fit(c, [(i - mean) / norm for i in range(n)], by, t), scale)
@@ -357,13 +361,17 @@ def dif_regime(df: DataFrame, by: Sequence[str] = BY, t: str = T) -> DataFrame:
     ).drop("_reg", "_gold", "_death")
 
 
-def divergence(p: str, o: str, n: int, by: Sequence[str] = BY, t: str = T) -> Column:
-    """Gap of price and oscillator slope (capped at 1), negative when they point apart."""
-    sp, so = slope(p, n, p, by, t), slope(o, n, p, by, t)
+def slope_gap(sp: Column, so: Column) -> Column:
+    """Gap of two slopes, capped at 1 and negative when they point apart."""
     size = F.when(sp.isNotNull() & so.isNotNull(), F.least(F.abs(sp - so), F.lit(1.0)))
     return F.when(sp * so < 0, -size).otherwise(size)
 
 
+def divergence(p: str, o: str, n: int, by: Sequence[str] = BY, t: str = T) -> Column:
+    """Gap of price and oscillator slope over the last n rows, both relative to the price."""
+    return slope_gap(slope(p, n, p, by, t), slope(o, n, p, by, t))
+
+
 def obv(df: DataFrame, by: Sequence[str] = BY, t: str = T, out: str = "obv") -> DataFrame:
     step = F.signum(F.col("close") - F.lag("close").over(ordered(by, t))) * F.coalesce("volume", F.lit(0.0))
     return df.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn(out, F.sum("_step").over(running(by, t))).drop("_step")

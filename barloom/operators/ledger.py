@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.scalar import as_col
 from barloom.operators.panel import affine_scan, asof_join, block_scan, latest, ordered
 from barloom.operators.pit import align_outer_ffill
+from barloom.session import cut_lineage
 
 HOLDING = ("account_id", "symbol")
 
@@ -160,6 +163,8 @@ def mark_accounts(ledger: DataFrame, prices: DataFrame, dates: DataFrame, order:
         *by, "trade_date", F.col("_l.holding").alias("holding"), F.col("_l.total_cost").alias("total_cost"),
         *[F.sum(f"_{c}").over(w).alias(c) for c in ("real", "fee", "in", "cash")],
     )
+    # The state is read several times below; its ledger must not be replayed each time.
+    state = cut_lineage(state)
     months = dates.select("snapshot_date", F.trunc("snapshot_date", "month").alias("_month"))
     last = dates.agg(F.max("snapshot_date").alias("_last")).withColumn("_one", F.lit(1))
     span = state.groupBy(*by).agg(F.min("trade_date").alias("_first")).withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one")
@@ -215,49 +220,59 @@ def account_returns(snapshots: DataFrame, by: Sequence[str] = ("account_id",), t
     ).drop("_peak", "_first", "_dd")
 
 
+def _xirr(ts: pd.Series, vs: pd.Series, ending: pd.Series, years: pd.Series) -> pd.Series:
+    """Root of -sum(v * (1+r)^-t) + ending * (1+r)^-T for a batch of accounts at once.
+
+    The upper rate doubles up to 32 times until the sign changes, then 96 halvings.
+    """
+    sizes = np.array([len(t) for t in ts])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    t, v = np.concatenate(ts.to_numpy()), np.concatenate(vs.to_numpy())
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    e, big = ending.to_numpy(dtype=float), years.to_numpy(dtype=float)
+
+    def npv(rate: np.ndarray) -> np.ndarray:
+        ln = np.log1p(rate)
+        with np.errstate(over="ignore", invalid="ignore"):
+            return -np.add.reduceat(v * np.exp(-ln[owner] * t), starts) + e * np.exp(-ln * big)
+
+    low, high = np.full(len(sizes), -0.999999), np.full(len(sizes), 1.0)
+    sign = np.sign(npv(low))
+    found = sign * np.sign(npv(high)) <= 0
+    for _ in range(32):
+        if found.all():
+            break
+        high = np.where(found, high, high * 2.0)
+        found |= sign * np.sign(npv(high)) <= 0
+    for _ in range(96):
+        mid = (low + high) / 2.0
+        left = sign * np.sign(npv(mid)) <= 0
+        low, high = np.where(left, low, mid), np.where(left, mid, high)
+    return pd.Series(np.where(found, (low + high) / 2.0, np.nan))
+
+
 def mwr(cashflows: DataFrame, endings: DataFrame, by: Sequence[str] = ("account_id",), min_days: int = 30) -> DataFrame:
     """Money-weighted return of every (account, valuation date): the rate at which dated contributions grow to the ending value.
 
     Flows of a day are summed first, which leaves the equation unchanged and
-    bounds the array per account by the calendar. The root is bracketed by
-    doubling the upper rate (32 times at most) and bisected 96 times.
+    bounds the array per account by the calendar; the root search then runs on
+    Arrow batches of accounts, vectorised over all of their flows.
     cashflows: by, flow_date, amount. endings: by, valuation_date, ending_value.
     """
     daily = cashflows.groupBy(*by, "flow_date").agg(F.sum("amount").alias("amount")).where("amount <> 0")
     flows = daily.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("flow_date", "amount"))).alias("_all"))
     j = endings.join(flows, list(by))
-    j = j.withColumn("_f", F.filter("_all", lambda x: x["flow_date"] <= F.col("valuation_date")))
+    j = j.withColumn("_f", F.filter("_all", lambda x: x["flow_date"] <= F.col("valuation_date"))).where(F.size("_f") > 0)
     j = j.withColumn("_start", F.try_element_at("_f", F.lit(1))["flow_date"])
-    j = j.withColumns(
-        {
-            "_T": F.date_diff("valuation_date", "_start") / 365.0,
-            "_p": F.transform("_f", lambda x: F.struct((F.date_diff(x["flow_date"], F.col("_start")) / 365.0).alias("t"), x["amount"].alias("v"))),
-        }
-    )
-
-    def npv(rate: Column) -> Column:
-        ln = F.log(1.0 + rate)
-        paid = F.aggregate("_p", F.lit(0.0), lambda s, x: s - x["v"] * F.exp(-ln * x["t"]))
-        return paid + F.col("ending_value") * F.exp(-ln * F.col("_T"))
-
-    low = F.lit(-0.999999)
-    j = j.withColumn("_lo", npv(low))
-    # first upper rate 2^k whose value has the other sign
-    k = F.aggregate(
-        F.sequence(F.lit(0), F.lit(32)), F.lit(-1),
-        lambda acc, i: F.when(acc >= 0, acc).when(F.signum(npv(F.pow(F.lit(2.0), i.cast("double")))) * F.signum("_lo") <= 0, i).otherwise(acc),
+    solve = F.pandas_udf(_xirr, "double")
+    root = solve(
+        F.transform("_f", lambda x: F.date_diff(x["flow_date"], F.col("_start")) / 365.0), F.transform("_f", lambda x: x["amount"].cast("double")),
+        F.col("ending_value").cast("double"), F.date_diff("valuation_date", "_start") / 365.0,
     )
-    j = j.withColumn("_k", k)
-    bracket = F.struct(low.alias("a"), F.pow(F.lit(2.0), F.col("_k").cast("double")).alias("b"))
-
-    def halve(acc, _):
-        mid = (acc["a"] + acc["b"]) / 2.0
-        left = F.signum("_lo") * F.signum(npv(mid)) <= 0
-        return F.struct(F.when(left, acc["a"]).otherwise(mid).alias("a"), F.when(left, mid).otherwise(acc["b"]).alias("b"))
-
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(96)), bracket, halve, lambda acc: (acc["a"] + acc["b"]) / 2.0)
-    ready = (F.date_diff("valuation_date", "_start") >= min_days) & (F.col("_k") >= 0)
-    return j.select(*by, "valuation_date", F.when(ready, root).alias("money_weighted_return"))
+    solved = j.withColumn("_root", root)
+    ready = (F.date_diff("valuation_date", "_start") >= min_days) & ~F.isnan("_root")
+    known = solved.select(*by, "valuation_date", F.when(ready, F.col("_root")).alias("money_weighted_return"))
+    return endings.select(*by, "valuation_date").join(known, [*by, "valuation_date"], "left")
 
 
 def dca_benchmark(contributions: DataFrame, prices: DataFrame, lot: int | None = None, fees: Fees = Fees(), by: Sequence[str] = HOLDING) -> DataFrame:
