@@ -175,3 +175,8 @@ def exchange_of(code) -> Column:
 def is_fund_code(code) -> Column:
     code = as_col(code)
     return code.rlike("^[0-9]{6}$") & F.substring(code, 1, 1).isin("1", "5")
+
+
+def indicator_value(payload, name: str) -> Column:
+    """One number out of a JSON indicator record; NULL when the key is absent."""
+    return F.try_element_at(F.from_json(as_col(payload), "map<string,double>"), F.lit(name))

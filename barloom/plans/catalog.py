@@ -2,6 +2,7 @@
 
 from barloom.plans import (
     bars_plans,
+    extra_plans,
     feature_plans,
     indicator_plans,
     ingest_plans,

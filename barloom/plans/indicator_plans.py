@@ -234,7 +234,7 @@ def _(spark, sf):
     for n in (5, 9, 13):
         m = I.quad_turn(m, "dif", n, "close", f"t{n}")
     return m.withColumns(I.turn_consensus(["t5", "t9", "t13"])).select(
-        "symbol", "trade_date", "turn_stable", "turn_kind", "turn_days_ahead", "turn_dispersion", "t9_axis"
+        "symbol", "trade_date", "turn_stable", "turn_kind", S.cut("turn_days_ahead", 3).alias("turn_days_ahead"), S.cut("turn_dispersion", 3).alias("turn_dispersion")
     )
 
 
