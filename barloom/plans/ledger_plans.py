@@ -317,7 +317,7 @@ _PP = {
     "position_performance",
     "S-23",
     with_views(
-        f"""select symbol, {r('arg_max(eq, trade_date) - 1')} as realized_return, {r('min(eq / greatest(pk, 1) - 1)')} as maximum_drawdown, {r('avg(nr - 1) / stddev_samp(nr) * sqrt(52)')} as sharpe, {r('sum(tn)')} as turnover,
+        f"""select symbol, {r('ln(arg_max(eq, trade_date))')} as realized_log_return, {r('min(eq / greatest(pk, 1) - 1)')} as maximum_drawdown, {r('avg(nr - 1) / stddev_samp(nr) * sqrt(52)')} as sharpe, {r('sum(tn)')} as turnover,
           {r('sum(tn * 0.0005)')} as transaction_cost, {r('arg_max(bheq, trade_date) - 1')} as buy_hold_return, {r('least(arg_max(dceq, trade_date) - 1, 1e6)', 4)} as dca_return
         from (select *, max(eq) over {OW} as pk from pe2) group by symbol""",
         **_PP,
@@ -327,6 +327,7 @@ def _(spark, sf):
     from barloom.functions.scalar import cut
 
     s = LG.performance_summary(LG.position_performance(_positions(spark, sf)))
+    s = s.withColumn("realized_log_return", F.log1p("realized_return")).drop("realized_return")
     return s.withColumn("dca_return", cut(F.least("dca_return", F.lit(1e6)), 4))
 
 
