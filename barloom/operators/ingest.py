@@ -152,21 +152,23 @@ def payload_hash(cols: Sequence[str]) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def group_hash(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], block: Column) -> DataFrame:
-    """Digest of the ordered rows of a group, as a digest of per-block digests.
+def group_hash(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], blocks: Sequence[Column]) -> DataFrame:
+    """Digest of the ordered rows of a group, as a tree of digests.
 
-    Rows meet only inside a block (for example a month), the per-group step sees
-    one digest per block, so no group is ever gathered whole.
+    ``blocks`` runs from the finest to the coarsest block number, each a
+    non-decreasing function of ``order`` (key // 1000, key // 1000000, ...). Rows
+    meet only inside a finest block and digests only inside the next one, so with
+    enough levels no task gathers more than a block, however large the group.
     """
-    rows = df.select(*by, block.alias("_block"), F.struct(*order).alias("_ord"), payload_hash(cols).alias("_h"))
-    per_block = rows.groupBy(*by, "_block").agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "_h"))), lambda x: x["_h"]), ""), 256).alias("_d"),
-        F.count("*").alias("_n"),
-    )
-    return per_block.groupBy(*by).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_d"))), lambda x: x["_d"]), ""), 256).alias("group_hash"),
-        F.sum("_n").alias("rows"),
-    )
+    names = [f"_b{i}" for i in range(len(blocks))]
+    rows = df.select(*by, *[b.alias(n) for b, n in zip(blocks, names)], F.struct(*order).alias("_k"), payload_hash(cols).alias("_d"), F.lit(1).alias("_n"))
+    for level in range(len(names) + 1):
+        keep = names[level:]
+        gathered = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_d"))), lambda x: x["_d"])
+        rows = rows.groupBy(*by, *keep).agg(F.sha2(F.array_join(gathered, ""), 256).alias("_d"), F.sum("_n").alias("_n"))
+        if keep:
+            rows = rows.withColumn("_k", F.col(keep[0]))
+    return rows.select(*by, F.col("_d").alias("group_hash"), F.col("_n").alias("rows"))
 
 
 def table_fingerprint(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -311,13 +311,15 @@ def _(spark, sf):
 @REG.add(
     "group_content_hash",
     "O-16 A-14",
-    """select o_orderpriority, sha256(string_agg(dg, '' order by m)) as group_hash, sum(n)::bigint as "rows" from (
-      select o_orderpriority, date_trunc('month', o_orderdate) as m, sha256(string_agg(sha256('o_custkey|' || o_custkey || '|o_orderstatus|' || o_orderstatus), '' order by o_orderkey)) as dg, count(*) as n
-      from orders group by all) group by o_orderpriority""",
+    """select o_orderpriority, sha256(string_agg(dg, '' order by b1)) as group_hash, sum(n)::bigint as "rows" from (
+      select o_orderpriority, b1, sha256(string_agg(dg, '' order by b0)) as dg, sum(n) as n from (
+        select o_orderpriority, o_orderkey // 100000 as b1, o_orderkey // 1000 as b0, sha256(string_agg(sha256('o_custkey|' || o_custkey || '|o_orderstatus|' || o_orderstatus), '' order by o_orderkey)) as dg, count(*) as n
+        from orders group by all) group by all) group by o_orderpriority""",
 )
 def _(spark, sf):
     o = V.table(spark, sf, "orders")
-    return G.group_hash(o, ["o_orderpriority"], ["o_orderkey"], ["o_custkey", "o_orderstatus"], F.trunc(F.col("o_orderdate").cast("date"), "month"))
+    key = F.col("o_orderkey")
+    return G.group_hash(o, ["o_orderpriority"], ["o_orderkey"], ["o_custkey", "o_orderstatus"], [F.floor(key / 1000), F.floor(key / 100000)])
 
 
 @REG.add(
