@@ -255,3 +255,45 @@ REG.sql["calibrator_table"] = with_views(
   union all
   select g.symbol, g.h, (select min(z.e) from iv z where z.symbol = g.symbol and z.h = g.h and z.s >= g.last) as last, g.c + 1 from gr g where exists (select 1 from iv z where z.symbol = g.symbol and z.h = g.h and z.s >= g.last)""",
 )
+
+
+REG.sql["similarity_forecasts"] = with_views(
+    f"""select m.symbol, b.rn - m.o as step, {r('any_value(m.base) * avg(b.close / m.c0)')} as predicted, {r('any_value(m.base) * greatest(avg(b.close / m.c0) - stddev_pop(b.close / m.c0), 0)')} as lower, {r('any_value(m.base) * (avg(b.close / m.c0) + stddev_pop(b.close / m.c0))')} as upper
+    from mt m join dn b on b.symbol = m.symbol and b.rn between m.o + 1 and m.o + 65 group by m.symbol, b.rn - m.o""",
+    mt="""select * from (select *, row_number() over (partition by symbol order by round(d, 12), o) as rk from (
+      select a.symbol, e.rn as o, any_value(e.close) as c0, max(t.close) filter (t.rn = e.n) as base, sqrt(sum(pow(a.close / s.close - t.close / t0.close, 2)) / 60) as d from (select *, max(rn) over (partition by symbol) as n from dn) e
+      join dn a on a.symbol = e.symbol and a.rn between e.rn - 59 and e.rn join dn s on s.symbol = e.symbol and s.rn = e.rn - 59 join dn t on t.symbol = e.symbol and t.rn = e.n - e.rn + a.rn join dn t0 on t0.symbol = e.symbol and t0.rn = e.n - 59
+      where e.rn >= 60 and e.rn <= e.n - 60 - 65 group by a.symbol, e.rn)) where rk <= 5""",
+)
+
+REG.sql["stratified_fan"] = with_views(
+    f"""select f.symbol, f.rn as anchor, f.st as stratum, count(*) as draws, {r('avg(exp(ln(1 + p.ret) + q.res * 0.1) - 1)')} as mean_terminal from (
+      select d.symbol, d.rn, i, n.st, ('0x' || md5('{SEED}:' || d.symbol || ':' || d.rn || ':' || i)[1:8])::bigint % n.n as idx from (select distinct symbol, rn from lp where rn % 26 = 0) d, range(0, {NS}) g(i), (select symbol, st, max(j) + 1 as n from ps2 group by all) n
+      where n.symbol = d.symbol and n.st = case when i < 42 then 0 else 1 end) f
+    join lp p on p.symbol = f.symbol and p.rn = f.rn and p.step = 13 join ps2 q on q.symbol = f.symbol and q.st = f.st and q.j = f.idx group by f.symbol, f.rn, f.st""",
+    **LP, pool=FAN["pool"],
+    ps2="select symbol, st, res, row_number() over (partition by symbol, st order by rn) - 1 as j from (select symbol, rn, res, case when idx % 3 = 0 then 1 else 0 end as st from pool where step = 13)",
+)
+
+_DDW = """(select min(z.close / (select max(y.close) from wn y where y.symbol = z.symbol and y.rn between x.rn - 59 and z.rn) - 1) from wn z where z.symbol = x.symbol and z.rn between x.rn - 59 and x.rn)"""
+_SIG = {
+    "sx": f"""select x.*, y.vp from (select *, lag(hist) over {OW} as ph, 0.5 * (close / lag(close, 4) over {OW} - 1) + 0.3 * (close / lag(close, 8) over {OW} - 1) + 0.2 * (close / lag(close, 13) over {OW} - 1) as mom,
+        case when rn >= 20 then avg(close) over (partition by symbol order by trade_date rows between 19 preceding and current row) end as m20, case when rn >= 60 then avg(close) over (partition by symbol order by trade_date rows between 59 preceding and current row) end as m60
+      from macd_w) x join (select symbol, trade_date, case when count(x) over f = 13 then stddev_pop(x) over f * sqrt(52) end as v13, case when rn >= 20 then 100 * (close - min(close) over g) / nullif(max(close) over g - min(close) over g, 0) end as vp
+        from (select *, close / lag(close) over {OW} - 1 as x from wn) window f as (partition by symbol order by trade_date rows between 12 preceding and current row), g as (partition by symbol order by trade_date rows between 19 preceding and current row)) y using (symbol, trade_date)""",
+}
+_SIG["sx"] = _SIG["sx"].replace("select x.*, y.vp", "select x.*, y.vp, y.v13, greatest(y.v13 / sqrt(52), 0.01) as sc")
+_SIG["ss"] = f"""select *, greatest(-1, least(1, 0.25 * greatest(-1, least(1, mom / (sc * 3))) + 0.25 * greatest(-1, least(1, ((close / m20 - 1) * 0.65 + (close / m60 - 1) * 0.35) / greatest(sc * 2, 0.02))) + 0.2 * greatest(-1, least(1, (dif - dea) / close / greatest(sc / 4, 0.002)))
+    + 0.15 * coalesce(greatest(-1, least(1, (50 - vp) / 50)), 0) + 0.15 * greatest(-1, least(1, 1 + {_DDW} / greatest(v13, 0.08))))) as s from sx x where rn >= 60"""
+
+REG.add(
+    "weekly_signal_states",
+    "S-05",
+    with_views(
+        f"""select {KEY}, {r('s')} as signal_score, case when s >= 0.08 then 'up' when s <= -0.08 then 'down' else 'sideways' end as signal_direction,
+          case when s >= 0.7 then 'VERY_STRONG_BULL' when s >= 0.45 then 'STRONG_BULL' when s >= 0.2 then 'BULL' when s >= 0.05 then 'MILD_BULL' when s > -0.05 then 'NEUTRAL' when s > -0.2 then 'MILD_BEAR' when s > -0.45 then 'BEAR' else 'STRONG_BEAR' end as signal_state,
+          case when vp >= 90 and s > 0.2 then case when hist >= ph then 'EXPENSIVE_STRONG' else 'EXPENSIVE_FADING' end when vp <= 15 and s < -0.08 then case when hist > ph then 'CHEAP_STABILISING' else 'CHEAP_WEAK' end when s < -0.45 then 'FALL_ACCELERATING' when s > 0.2 then 'FAIR_RISING' else 'FAIR_RANGING' end as signal_market_state,
+          {r('greatest(35, least(90, 56 + abs(s) * 30))')} as signal_confidence from ss""",
+        **_SIG,
+    ),
+)(lambda spark, sf: REG.queries["weekly_signals"](spark, sf).where("signal_score is not null").drop("base_target"))
