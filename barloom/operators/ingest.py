@@ -256,11 +256,8 @@ def complete_daily(df: DataFrame, ts: str = "ts") -> DataFrame:
 def freshness(bars: DataFrame, calendar: DataFrame, now, close_hhmm: str, zone: str, delay_minutes: int = 30, by: Sequence[str] = BY) -> DataFrame:
     """Latest stored session per key against the last session already closed (plus delay) at ``now`` (UTC)."""
     close = local_close_utc("session_date", close_hhmm, zone) + F.make_interval(mins=F.lit(delay_minutes))
-    expected = calendar.where(close <= F.lit(now).cast("timestamp")).agg(F.max("session_date").alias("expected"))
-    stored = bars.groupBy(*by).agg(F.max("trade_date").alias("latest"))
-    # one expected date for all keys: a scalar subquery in effect
-    one = expected.withColumn("_one", F.lit(1))
-    out = stored.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+    expected = calendar.where(close <= F.lit(now).cast("timestamp")).select(F.max("session_date")).scalar()
+    out = bars.groupBy(*by).agg(F.max("trade_date").alias("latest")).withColumn("expected", expected)
     return out.withColumn("fresh", F.coalesce(F.col("latest") >= F.col("expected"), F.lit(False)))
 
 

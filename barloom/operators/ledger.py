@@ -166,8 +166,7 @@ def mark_accounts(ledger: DataFrame, prices: DataFrame, dates: DataFrame, order:
     # The state is read several times below; its ledger must not be replayed each time.
     state = cut_lineage(state)
     months = dates.select("snapshot_date", F.trunc("snapshot_date", "month").alias("_month"))
-    last = dates.agg(F.max("snapshot_date").alias("_last")).withColumn("_one", F.lit(1))
-    span = state.groupBy(*by).agg(F.min("trade_date").alias("_first")).withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one")
+    span = state.groupBy(*by).agg(F.min("trade_date").alias("_first")).withColumn("_last", dates.select(F.max("snapshot_date")).scalar())
     axis = (
         span.where("_first <= _last")
         .select(*by, "_first", F.explode(F.sequence(F.trunc("_first", "month"), F.trunc("_last", "month"), F.expr("interval 1 month"))).alias("_month"))

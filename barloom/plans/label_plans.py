@@ -69,11 +69,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     d = V.bars_daily(spark, sf)
-    # every symbol is held to the whole calendar: month-wise equi-join of key spans and sessions
     cal = V.calendar(spark, sf)
-    span = cal.agg(F.min("session_date").alias("lo"), F.max("session_date").alias("hi"))
-    keys = d.select("symbol").distinct().withColumn("one", F.lit(1)).join(span.withColumn("one", F.lit(1)), "one")
-    ends = keys.select("symbol", F.explode(F.array("lo", "hi")).alias("trade_date"))
+    # every symbol is held to the whole calendar: its two ends as scalar subqueries
+    lo, hi = (cal.select(f("session_date")).scalar() for f in (F.min, F.max))
+    ends = d.select("symbol").distinct().withColumns({"lo": lo, "hi": hi}).select("symbol", F.explode(F.array("lo", "hi")).alias("trade_date"))
     expected = B.calendar_by_key(ends, cal)
     return L.verified_weeks(V.bars_weekly(spark, sf).select("symbol", "trade_date"), L.week_coverage(d, expected), AS_OF)
 

@@ -53,9 +53,8 @@ def bars_view(spark: SparkSession, out: str, key: str = "symbol") -> DataFrame:
     """Newest version of every bar; a bar is provisional until a tick after its period has been seen."""
     log = spark.read.parquet(out)
     newest = latest(log, [key, "period"], ["batch_id"])
-    seen = newest.agg(F.max("last_tick").alias("_seen")).withColumn("_one", F.lit(1))
-    done = newest.withColumn("_one", F.lit(1)).join(F.broadcast(seen), "_one")
-    return done.withColumn("is_complete", F.col("period_end") <= F.col("_seen")).drop("_one", "_seen", "batch_id")
+    seen = log.select(F.max("last_tick")).scalar()
+    return newest.withColumn("is_complete", F.col("period_end") <= seen).drop("batch_id")
 
 
 def run_bars(ticks: DataFrame, order: Sequence[str], out: str, checkpoint: str, unit: str = "day", watermark: str = "14 days") -> StreamingQuery:
@@ -75,8 +74,8 @@ def correction_sink(spark: SparkSession, out: str, keys: Sequence[str], values:
         if stored is None:
             write_batch(batch.withColumn("outcome", F.lit("added")), out, batch_id)
             return
-        edge = stored.agg(F.date_sub(F.max(t), overlap_days).alias("_edge")).withColumn("_one", F.lit(1))
-        fresh = batch.withColumn("_one", F.lit(1)).join(F.broadcast(edge), "_one").where(F.col(t) >= F.col("_edge")).drop("_one", "_edge")
+        edge = stored.select(F.date_sub(F.max(t), overlap_days)).scalar()
+        fresh = batch.where(F.col(t) >= edge)
         merged, audit = upsert(stored, fresh, keys, values)
         changed = merged.join(audit.where(F.col("outcome").isin("added", "updated")), list(keys))
         write_batch(changed, out, batch_id)
