@@ -154,3 +154,27 @@ def test_positions_and_bars_stream_equals_batch_over_several_batches(spark, tmp_
         b = bars[w.symbol, w.d]
         assert (b.open, b.close, b.volume) == (w.o, w.c, w.v)
     assert sum(not b.is_complete for b in bars.values()) == 2
+
+
+def test_behavior_diff_counts_divergence(spark):
+    from barloom.operators import gates as G
+
+    same = ("a", 1, [0.1, 0.2], [0.1, 0.2], 0.5, 0.5, 20, 20, 30, 30, "BUY", "BUY", [1, 2], [1, 2], [1.0, 1.1], [1.0, 1.1])
+    other = ("b", 1, [0.1, 0.2], [0.1, 0.3], 0.5, 0.6, 20, 25, 30, 30, "BUY", "SELL", [1, 2], [1], [1.0, 1.1], [1.0, 1.2])
+    cols = "symbol string, anchor int, " + ", ".join(
+        f"{s}_{c} {t}" for c, t in (("path", "array<double>"), ("score", "double"), ("base", "int"), ("target", "int"), ("signal", "string"), ("trades", "array<int>"), ("equity", "array<double>")) for s in ("champion", "candidate")
+    )
+    got = {r.symbol: r for r in G.behavior_diff(spark.createDataFrame([same, other], cols), ["symbol"]).collect()}
+    assert got["a"].identical and not got["a"].passes_prefilter and got["a"].forecast_ratio == 0
+    b = got["b"]
+    assert (b.forecast_ratio, b.score_ratio, b.base_ratio, b.target_ratio, b.signal_ratio, b.trade_ratio, b.equity_ratio) == (0.5, 1, 1, 0, 1, 0.5, 0.5)
+    assert not b.identical and b.passes_prefilter
+
+
+def test_analogue_quantiles_blend(spark):
+    base = spark.createDataFrame([("a", 1, 0.1, -0.2, 0.0, 0.2)], "symbol string, step int, expected double, r10 double, r50 double, r90 double")
+    res = spark.createDataFrame([("a", 1, i / 10.0) for i in range(-16, 17)], "symbol string, step int, res double")
+    r = SC.analogue_quantiles(base, res).first()
+    q = np.quantile([i / 10.0 for i in range(-16, 17)], [0.1, 0.5, 0.9])
+    w = 33 / 320
+    assert np.allclose([r.p10, r.p50, r.p90], [0.1 + (1 - w) * m + w * x for m, x in zip((-0.2, 0.0, 0.2), q)])
