@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, sharding
+from barloom.llm import bpe, packing, sharding
 from barloom.llm.common import read
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(128))
@@ -18,10 +18,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 1024 tokens, each document ended by id 2."""
+    docs = read(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50_256}, 2)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document among 128."""
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_packing, op8_sharding)}
 SQL: dict[str, str] = {}
