@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, packing, sharding
+from barloom.llm import bpe, packing, repeats, sharding
 from barloom.llm.common import read
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(128))
@@ -29,5 +29,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_packing, op8_sharding)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that also start elsewhere."""
+    rows = repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_packing, op8_sharding, op10_suffix_dedup)}
 SQL: dict[str, str] = {}
