@@ -57,7 +57,7 @@ def _with_ids(df: DataFrame, path: str, pattern: str, keys: str) -> DataFrame:
 
 
 def _boundaries(chunks: DataFrame, pattern: str, stride: int, overlap: int) -> DataFrame:
-    """Adds ``head``: boundaries in the overlap with the chunk before, and ``tail``: those in the overlap with the next, counted from the next one's start."""
+    """(t, c, head, tail): boundaries in the overlap with the chunk before, and those in the overlap with the next, counted from the next one's start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _pattern(pattern).finditer
@@ -67,16 +67,19 @@ def _boundaries(chunks: DataFrame, pattern: str, stride: int, overlap: int) -> D
                 ends = [m.end() for m in find(text)]
                 heads.append([e for e in ends if e <= overlap])
                 tails.append([e - stride for e in ends if stride <= e <= len(text) - MARGIN])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[*batch.schema.names, "head", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("c"), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["t", "c", "head", "tail"])
 
-    return chunks.mapInArrow(run, "t string, c int, chunk string, head array<int>, tail array<int>")
+    return chunks.mapInArrow(run, "t string, c int, head array<int>, tail array<int>")
 
 
 def stitched_pieces(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """Texts (t, text), each longer than ``chunk`` -> (t, c, text): pieces whose ids, in order of c, are those of the whole text."""
+    """Texts (t, text), each longer than ``chunk`` -> (t, c, text): pieces whose ids, in order of c, are those of the whole text.
+
+    The chunks are dealt out once; their boundaries alone travel to meet their neighbours' and come back to them.
+    """
     stride = chunk - overlap
     count = F.ceil((F.length("text") - overlap) / stride).cast("int")
-    cut = (
+    dealt = (
         texts.select("t", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("c"))
         .select("t", "c", F.expr(f"substring(text, c * {stride} + 1, {chunk})").alias("chunk"))
         .repartition(tasks(texts.sparkSession), "t", "c")
@@ -84,27 +87,30 @@ def stitched_pieces(texts: DataFrame, pattern: str, chunk: int, overlap: int) ->
     order = Window.partitionBy("t").orderBy("c")
     met = F.array_min(F.array_intersect(F.lag("tail").over(order), "head"))
     found = (
-        _boundaries(cut, pattern, stride, overlap)
+        _boundaries(dealt, pattern, stride, overlap)
+        .dropDuplicates(["t", "c"])
         .withColumn("start", F.when(F.col("c") == 0, 0).otherwise(met))
         .withColumn("stop", F.lead("start").over(order) + stride)
         .withColumn("lost", F.max(F.col("start").isNull()).over(Window.partitionBy("t")))
     )
-    pieces = found.where("not lost").select("t", "c", F.expr("substring(chunk, start + 1, coalesce(stop, length(chunk)) - start)").alias("text"))
+    kept = dealt.join(found.where("not lost").select("t", "c", "start", "stop").hint("shuffle_hash"), ["t", "c"])
+    pieces = kept.select("t", "c", F.expr("substring(chunk, start + 1, coalesce(stop, length(chunk)) - start)").alias("text"))
     whole = texts.join(found.where("lost").select("t").distinct(), "t").select("t", F.lit(0).alias("c"), "text")
     return pieces.union(whole)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 16_384, overlap: int = 512) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, in the order of the input's texts."""
-    if not 0 < overlap < chunk - overlap:
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768, overlap: int = 512) -> DataFrame:
+    """(doc_id, ids): ids as little-endian unsigned 32-bit integers. Equal long texts are encoded once."""
+    if not MARGIN < overlap < chunk - overlap:
         raise ValueError("an overlap must be shorter than half a chunk")
     rows = documents(docs)
     short = _with_ids(rows.where(F.length("text") <= chunk), path, pattern, "doc_id long")
-    long = rows.where(F.length("text") > chunk).withColumn("t", F.sha2("text", 256))
-    pieces = stitched_pieces(long.select("t", "text").dropDuplicates(["t"]), pattern, chunk, overlap)
+    long = rows.where(F.length("text") > chunk).select("doc_id", F.sha2("text", 256).alias("t"), F.coalesce("doc_id", F.lit(-1 << 63)).alias("d"), "text")
+    one = long.groupBy("t").agg(F.min("d").alias("d"))
+    pieces = stitched_pieces(long.join(one, ["t", "d"], "left_semi").select("t", "text"), pattern, chunk, overlap)
 
     def joined(rows):
-        rows = rows.sort_values("c")
+        rows = rows.drop_duplicates("c").sort_values("c")
         return rows.iloc[:1][["t"]].assign(ids=b"".join(rows["ids"]))
 
     ids = _with_ids(pieces, path, pattern, "t string, c int").groupBy("t").applyInPandas(joined, "t string, ids binary")
