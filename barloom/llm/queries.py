@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, packing, repeats, sharding
+from barloom.llm import bpe, jaccard, packing, repeats, sharding, toxicity
 from barloom.llm.common import read
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(128))
@@ -18,12 +18,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; every third document by crc32 of its id is held out from learning."""
+    docs, out = read(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"))
+    examples = toxicity.fit(docs.where(~out), read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~out))
+    return toxicity.score(docs, examples).select("doc_id", out.alias("held_out"), "score", "predicted", "evidence")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 1024 tokens, each document ended by id 2."""
     docs = read(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50_256}, 2)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles."""
+    return jaccard.similar_groups(read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document among 128."""
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
@@ -35,5 +47,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_packing, op8_sharding, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_packing, op6_ngram_jaccard, op8_sharding, op10_suffix_dedup)}
 SQL: dict[str, str] = {}
