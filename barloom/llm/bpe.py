@@ -3,7 +3,8 @@
 Pre-tokens are matches of a pattern without look-behind, so what follows a true boundary depends on the text after it
 alone. Texts longer than a chunk are cut into chunks that overlap; each chunk is pre-tokenised by itself, and from the
 first boundary that both neighbours have in their overlap on, the later chunk's boundaries are the true ones. The pieces
-between these points are encoded apart and their ids joined. A text whose chunks never meet is encoded in one piece.
+between these points are encoded apart and their ids joined. Only boundaries after a visible character count, for a run of
+white space is split by what follows it, and a piece that ends in one would lose sight of that. A text whose chunks never meet is encoded in one piece.
 
 Rules: a null text is empty; an empty text has no ids; repeated rows are encoded alike and all returned; columns other
 than doc_id and text are not read; an empty table gives no rows.
@@ -64,7 +65,7 @@ def _boundaries(chunks: DataFrame, pattern: str, stride: int, overlap: int) -> D
         for batch in batches:
             heads, tails = [], []
             for text in batch.column("chunk").to_pylist():
-                ends = [m.end() for m in find(text)]
+                ends = [e for e in (m.end() for m in find(text)) if text[e - 1] != " " and text[e - 1].isprintable()]
                 heads.append([e for e in ends if e <= overlap])
                 tails.append([e - stride for e in ends if stride <= e <= len(text) - MARGIN])
             yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("c"), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["t", "c", "head", "tail"])
