@@ -13,12 +13,13 @@ by doc_id and start; columns other than doc_id and text are not read; an empty t
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm import bpe
 from barloom.llm.common import documents, stored, tasks
@@ -57,18 +58,22 @@ def cut(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], end:
     return documents(docs).mapInArrow(run, PIECES)
 
 
-def ranked(rows: DataFrame, size: str, order: list[str], parts: int) -> DataFrame:
-    """Range-sorts and adds ``rank``: the place among the rows of equal size, from 0.
+def ranked(rows: DataFrame, size: str, order: list[str], parts: int) -> tuple[DataFrame, dict[int, int]]:
+    """Range-sorts and adds ``rank``: the place among the rows of equal size, from 0. Also the number of rows per size.
 
     A range partition spans neighbouring sizes, so partitions and sizes meet in no more than partitions + sizes
-    combinations; that many rows of counts are summed up and broadcast.
+    combinations; only counts of these come to the driver and go back as a broadcast table.
     """
-    sorted_rows = rows.repartitionByRange(parts, size, *order).sortWithinPartitions(size, *order)
-    kept = stored(sorted_rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
-    before = Window.partitionBy(size).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = kept.groupBy("part", size).agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    shift = counts.select("part", size, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return kept.join(F.broadcast(shift), ["part", size]).withColumn("rank", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(parts, size, *order) if parts > 1 else rows.coalesce(1)
+    kept = stored(dealt.sortWithinPartitions(size, *order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    numbers: dict[int, int] = {}
+    shift = []
+    for part, s, n, first in kept.groupBy("part", size).agg(F.count("*"), F.min("at")).orderBy("part", size).collect():
+        shift.append((part, s, numbers.get(s, 0) - first))
+        numbers[s] = numbers.get(s, 0) + n
+    table = spark.createDataFrame(shift, f"part int, {size} long, shift long")
+    return kept.join(F.broadcast(table), ["part", size]).withColumn("rank", F.col("at") + F.col("shift")).drop("part", "at", "shift"), numbers
 
 
 def sweep(left: np.ndarray, gaps: np.ndarray, band: range, capacity: int, wait: bool) -> tuple[list[tuple], list[tuple]]:
@@ -119,62 +124,69 @@ def pack(pieces: DataFrame, capacity: int = 1024, waits: int = 1, rows_per_task:
     spark = pieces.sparkSession
     names = pieces.columns
     kept = stored(pieces)
-    total = np.zeros(capacity + 1, np.int64)
-    for s, n in kept.groupBy("length").count().collect():  # a row per length
-        if not 0 < s <= capacity:
-            raise ValueError("a piece has no length or is longer than a sequence")
-        total[s] = n
-    parts = max(1, min(tasks(spark), -(-int(total.sum()) // rows_per_task)))
-    items = stored(ranked(kept, "length", ["doc_id", "start", "piece"], parts))
-
-    def meet(rows: DataFrame, plan: list[tuple], size: str, places: str) -> DataFrame:
-        """Rows whose size and rank a line of the plan covers; the plan has no more lines than lengths and gaps together."""
-        table = spark.createDataFrame(plan, f"{size} long, low long, high long, k long, {places}")
-        return rows.join(F.broadcast(table), size).where("rank >= low and rank < high").withColumn("step", F.col("rank") - F.col("low"))
-
-    left = total.copy()
-    long = [s for s in range(capacity, capacity // 2, -1) if total[s]]
-    first = np.concatenate([[0], np.cumsum(total[long])]).tolist()
+    parts = max(1, min(tasks(spark), -(-kept.count() // rows_per_task)))
+    items, sizes = ranked(kept, "length", ["doc_id", "start", "piece"], parts)
+    if any(not 0 < s <= capacity for s in sizes):
+        raise ValueError("a piece is longer than a sequence or has no length")
+    items = stored(items)
+    left = np.zeros(capacity + 1, np.int64)
+    for s, n in sizes.items():
+        left[s] = n
+
+    def table(rows: list[tuple], columns: str) -> DataFrame:
+        """Lines of the plan: no more in a sweep than sizes of pieces and gaps together."""
+        return F.broadcast(spark.createDataFrame(rows, columns))
+
+    def opened(lines: list[tuple]) -> DataFrame:
+        """Pieces that stand in sequences opened for their length, ``k`` in each, from number ``bin``."""
+        rows = items.join(table(lines, "length long, low long, high long, k long, bin long"), "length").where("rank >= low and rank < high")
+        return rows.withColumn("step", F.col("rank") - F.col("low")).withColumn("bin", F.col("bin") + F.expr("step div k"))
+
+    def opened_gaps(lines: list[tuple]) -> DataFrame:
+        rows = opened(lines).where("step % k = 0")
+        return rows.select("bin", (capacity - F.least("k", F.col("high") - F.col("rank")) * F.col("length")).alias("gap"))
+
+    long = [s for s in range(capacity, capacity // 2, -1) if left[s]]
+    first = np.concatenate([[0], np.cumsum(left[long])]).tolist()
     made = int(first[-1])
+    fresh = [(s, 0, int(left[s]), 1, b) for s, b in zip(long, first, strict=False)]
     left[capacity // 2 + 1 :] = 0
-    own = meet(items, [(s, 0, int(total[s]), 1, b) for s, b in zip(long, first, strict=False)], "length", "bin long")
-    own = own.withColumn("bin", F.col("bin") + F.col("step"))
-    placed = [own.select(*names, F.col("bin").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    gaps = own.select("bin", (capacity - F.col("length")).alias("gap"))
-    done = np.zeros_like(total)
+    done, opens, moves, stands = np.zeros_like(left), list(fresh), [], []
+    gaps = spark.createDataFrame([], "bin long, gap long")
     for band in bands(capacity):
         sweeps = 0
         while any(left[s] for s in band):
             shortest = int(np.flatnonzero(left)[0])
-            at = stored(ranked(gaps.where(F.col("gap") >= shortest), "gap", ["bin"], parts))
-            have = np.zeros_like(total)
-            for g, n in at.groupBy("gap").count().collect():  # a row per gap
-                have[g] = n
-            matches, openings = sweep(left, have, band, capacity, sweeps < waits)
+            if fresh:
+                gaps = gaps.union(opened_gaps(fresh))
+            at, have = ranked(gaps.where(F.col("gap") >= shortest), "gap", ["bin"], parts)
+            counts = np.zeros_like(left)
+            for g, n in have.items():
+                counts[g] = n
+            matches, openings = sweep(left, counts, band, capacity, sweeps < waits)
             sweeps += 1
-            to, by, fresh, reach = [], [], [], [0] * (capacity + 1)
+            by, fresh = [], []
             for s, n, k, g, rank, use in matches:
-                to.append((s, int(done[s]), int(done[s]) + n, k, g, rank))
+                moves.append((s, int(done[s]), int(done[s]) + n, k, len(stands), g, rank))
                 by.append((g, rank, rank + use, k, s, n))
                 done[s] += n
-                reach[g] = rank + use
             for s, n, k in openings:
                 fresh.append((s, int(done[s]), int(done[s]) + n, k, made))
                 done[s] += n
                 made += -(-n // k)
-            moved = meet(items, to, "length", "gap long, gap_rank long").withColumn("gap_rank", F.col("gap_rank") + F.expr("step div k"))
-            moved = moved.drop("rank").join(at.withColumnRenamed("rank", "gap_rank"), ["gap", "gap_rank"])
-            placed.append(moved.select(*names, F.col("bin").alias("sequence_id"), (capacity - F.col("gap") + F.col("step") % F.col("k") * F.col("length")).alias("offset")))
-            opened = meet(items, fresh, "length", "bin long").withColumn("bin", F.col("bin") + F.expr("step div k"))
-            placed.append(opened.select(*names, F.col("bin").alias("sequence_id"), (F.col("step") % F.col("k") * F.col("length")).alias("offset")))
-            used = meet(at, by, "gap", "length long, n long").withColumn("n", F.least("k", F.col("n") - F.col("step") * F.col("k")))
-            new = opened.where("step % k = 0").select("bin", (capacity - F.least("k", F.col("high") - F.col("rank")) * F.col("length")).alias("gap"))
-            same = at.join(F.broadcast(spark.createDataFrame(list(enumerate(reach)), "gap long, reach long")), "gap").where("rank >= reach").select("bin", "gap")
-            gaps = same.union(used.select("bin", (F.col("gap") - F.col("n") * F.col("length")).alias("gap"))).union(new)
-    out = placed[0]
-    for p in placed[1:]:
-        out = out.union(p)
-    return out
+            opens += fresh
+            lines = table(by, "by long, low long, high long, k long, length long, n long")
+            hit = at.join(lines, (F.col("gap") == F.col("by")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left")
+            stands.append(hit.where("by is not null").select(F.lit(len(stands)).cast("long").alias("turn"), "gap", "rank", "bin"))
+            filled = F.least("k", F.col("n") - (F.col("rank") - F.col("low")) * F.col("k")) * F.col("length")
+            gaps = hit.select("bin", (F.col("gap") - F.coalesce(filled, F.lit(0))).alias("gap"))
+    alone = opened(opens).select(*names, F.col("bin").alias("sequence_id"), (F.col("step") % F.col("k") * F.col("length")).alias("offset"))
+    if not stands:
+        return alone
+    to = items.join(table(moves, "length long, low long, high long, k long, turn long, gap long, gap_rank long"), "length").where("rank >= low and rank < high")
+    to = to.withColumn("step", F.col("rank") - F.col("low")).withColumn("rank", F.col("gap_rank") + F.expr("step div k"))
+    joined = to.join(functools.reduce(DataFrame.union, stands), ["turn", "gap", "rank"])
+    return alone.union(joined.select(*names, F.col("bin").alias("sequence_id"), (capacity - F.col("gap") + F.col("step") % F.col("k") * F.col("length")).alias("offset")))
 
 
 def pack_documents(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], end: int, capacity: int = 1024) -> DataFrame:
