@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, jaccard, packing, repeats, sharding, toxicity
+from barloom.llm import bpe, hnsw, jaccard, onebit, packing, repeats, sharding, toxicity
 from barloom.llm.common import read
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(128))
@@ -36,16 +36,26 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(read(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of equal label linked by a cosine of 0.93 or more."""
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document among 128."""
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product with every vector whose id is divisible by 20."""
+    return onebit.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the strings of 400 bytes that also start elsewhere."""
     rows = repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_packing, op6_ngram_jaccard, op8_sharding, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_packing, op6_ngram_jaccard, op7_embedding_dedup, op8_sharding, op9_nearest_vectors, op10_suffix_dedup)}
 SQL: dict[str, str] = {}
