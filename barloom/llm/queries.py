@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, hnsw, jaccard, onebit, packing, repeats, sharding, toxicity
+from barloom.llm import bpe, hnsw, jaccard, lm, onebit, packing, repeats, sharding, toxicity
 from barloom.llm.common import read
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(128))
@@ -31,6 +31,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50_256}, 2)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document; every fifth document by crc32 of its id is held out from learning."""
+    out = toxicity.held_out(F.col("doc_id"), 5, 1)
+    rows = lm.score(read(spark, sf_dir, "documents"), ~out, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rows.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles."""
     return jaccard.similar_groups(read(spark, sf_dir, "documents"))
@@ -57,5 +64,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_packing, op6_ngram_jaccard, op7_embedding_dedup, op8_sharding, op9_nearest_vectors, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_packing, op5_lm_scoring, op6_ngram_jaccard, op7_embedding_dedup, op8_sharding, op9_nearest_vectors, op10_suffix_dedup)}
 SQL: dict[str, str] = {}
