@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, info: DataFrame, width: int, pe
 
 
 def similar_groups(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_centres): one row per input row.
+    """(doc_id, n_shingles, component_id): one row per input row.
 
     component_id: the smallest doc_id reachable by links; it is the row's own where it has none. Rows that share a doc_id
     are one document for this. ``rounds``: rounds of centres before all remaining pairs across components are compared.
@@ -175,8 +175,7 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = 5, rounds: i
     two = met.where("size = 2").select("key", F.explode(F.array("low", "high")).alias("doc_id"))
     more = keyed.join(met.where("size > 2").select("key"), "key").select("key", "doc_id").distinct()
     buckets = stored(two.union(more))
-    classes = base.where("doc_id is not null and n > 0").withColumn("first", F.lit(None).cast("long"))
-    first = classes.groupBy("class").agg(F.min("doc_id").alias("first"))
+    first = base.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
     same = base.where("doc_id is not null and n > 0").select("doc_id", "class").join(first, "class").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     links = stored(same)
     asked = None
@@ -209,3 +208,14 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = 5, rounds: i
         .join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     )
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its group; rows with a null doc_id stay. Of rows that share a doc_id one stays."""
+    groups = similar_groups(docs, percent, width)
+    left = docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    again = stored(again)
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

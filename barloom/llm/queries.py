@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, hnsw, jaccard, lm, onebit, packing, repeats, sharding, toxicity
+from barloom.llm import bpe, hnsw, jaccard, licenses, lm, onebit, packing, repeats, sharding, toxicity
 from barloom.llm.common import read
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(128))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document, with their wording differences."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, decoded again; digests of both."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -64,5 +69,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_packing, op5_lm_scoring, op6_ngram_jaccard, op7_embedding_dedup, op8_sharding, op9_nearest_vectors, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_toxicity, op4_packing, op5_lm_scoring, op6_ngram_jaccard, op7_embedding_dedup, op8_sharding, op9_nearest_vectors, op10_suffix_dedup)}
 SQL: dict[str, str] = {}

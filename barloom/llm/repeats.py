@@ -358,3 +358,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 64, block_bytes:
 
     left = long.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, schema)
     return short.select(*names, *results).union(left.select(*names, *results))
+
+
+def without_repeats(docs: DataFrame, length: int = 400, k: int = 64) -> DataFrame:
+    """docs with what is left of each text, and its n_chars; a character of which only some bytes are left goes too."""
+
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+            columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(x) for x in texts], pa.int64()).cast(columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    kept = remove_repeats(docs, length, k)
+    return kept.select(*docs.columns, "kept").mapInArrow(run, kept.select(*docs.columns).schema)

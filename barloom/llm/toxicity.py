@@ -205,3 +205,14 @@ def score(docs: DataFrame, examples: Examples, k: int = 15, pull: float = 0.25,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["doc_id", "score", "predicted", "evidence"])
 
     return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
+
+
+def clean_only(docs: DataFrame, examples: Examples, k: int = 15, pull: float = 0.25, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores below the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([examples.score(t or "", k, pull)[0] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
