@@ -12,9 +12,9 @@ visits the band below when a partner may stand there. A second sketch of single
 lower bound as well, discards candidates before the exact count.
 
 Groups: texts with equal sets are one class. In each bucket of a key, members are compared with one centre, what links is
-joined to components, and buckets that still hold several components are compared again with other centres; in the last
-round all pairs across components are. So a bucket of near copies costs a star per round, and no link between components
-is lost.
+joined to components, and buckets that still hold several components are compared again with other centres. In the last
+round such buckets are joined with themselves across components, under the second sketch's bound, so only pairs that may
+be linked come out. A bucket of near copies costs a star per round, and no link between components is lost.
 
 Rules: a null or wordless text has an empty set and no link; fewer words than a shingle has are one shingle; repeated rows
 are linked (J = 1); rows with a null doc_id are returned with no component; columns other than doc_id and text are not
@@ -23,6 +23,7 @@ read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -32,8 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 from barloom.llm.common import components, documents, stored
 from barloom.llm.shingles import mix, shingles
 
-#: Cells in which shingles are counted for the words' order, bits of the second sketch, classes remembered by a task.
-CELLS, BITS, REMEMBER = 1 << 16, 1024, 50_000
+#: Cells in which shingles are counted for the words' order, bits of the second sketch, classes remembered by a task,
+#: different centres that buckets of the same members get in a round.
+CELLS, BITS, REMEMBER, CENTRES = 1 << 16, 1024, 50_000, 4
 
 
 def allowed(total: int, percent: int) -> int:
@@ -75,9 +77,17 @@ def keys(elements: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity_bits(elements: np.ndarray) -> bytes:
+def parity_bits(elements: np.ndarray) -> np.ndarray:
+    """BITS parity bits as 64-bit numbers."""
     at = ((elements >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def possible(percent: int):
+    """Condition on the columns n_a, n_b, bits_a and bits_b of a pair that every linked pair meets."""
+    differ = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)])
+    bound = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (differ <= bound)
 
 
 def _frequent(rows: DataFrame, width: int) -> np.ndarray:
@@ -117,10 +127,10 @@ def _profiles(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 seen[name] = None
                 if len(seen) > REMEMBER:
                     seen.pop(next(iter(seen)))
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bits, pa.binary()), pa.array(key, pa.list_(pa.int64()))]
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(key, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "class", "bits", "keys"])
 
-    return stored(rows.mapInArrow(run, "doc_id long, n long, class binary, bits binary, keys array<long>"))
+    return stored(rows.mapInArrow(run, "doc_id long, n long, class binary, bits array<long>, keys array<long>"))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, info: DataFrame, width: int, percent: int) -> DataFrame:
@@ -128,16 +138,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, info: DataFrame, width: int, pe
     left, right = (info.select(*[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "class", "bits")]) for s in "ab")
     known = pairs.join(left, pairs.a == left.doc_id_a).join(right, pairs.b == right.doc_id_b)
     equal = known.where("class_a = class_b").select("a", "b")
-    near = known.where(f"class_a <> class_b and least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}")
-
-    def close(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("bits_a", "bits_b"))
-            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            on = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= allowed(total, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(on))
-
-    near = stored(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(close, "a long, b long"))
+    near = stored(known.where(F.col("class_a") != F.col("class_b")).where(possible(percent)).select("a", "b"))
 
     def sets(batches):
         for batch in batches:
@@ -187,12 +188,14 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = 5, rounds: i
             now = now.join(open_keys, "key")
         now = stored(now.select("key", "doc_id", "root"))
         if turn < rounds:
-            pick = F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else F.lit(0).cast("long"), "doc_id", "root")
+            pick = F.struct(F.xxhash64("doc_id", F.pmod("key", F.lit(CENTRES)), F.lit(turn)) if turn else F.lit(0).cast("long"), "doc_id", "root")
             centre = now.groupBy("key").agg(F.min(pick).alias("c")).select("key", F.col("c.doc_id").alias("centre"), F.col("c.root").alias("centre_root"))
             pairs = now.join(centre, "key").where("root <> centre_root").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
         else:
-            other = now.select("key", F.col("doc_id").alias("b"), F.col("root").alias("root_b"))
-            pairs = now.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and root <> root_b").select("a", "b")
+            whole = now.join(info.select("doc_id", "n", "bits"), "doc_id")
+            left, right = (whole.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "root", "n", "bits")]) for side in "ab")
+            across = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b"))
+            pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & across & possible(percent)).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
         pairs = pairs.distinct()
         if asked is not None:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
