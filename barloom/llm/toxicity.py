@@ -67,14 +67,12 @@ class Examples:
     largest: np.ndarray
     block: int = 64
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), np.int64)
-        idf = np.array([self.weights[i] for i in at.tolist()])
-        w = (1 + np.log(np.array([counts[i] for i in at.tolist()], float))) * idf
-        return at, w / np.linalg.norm(w)
+    def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(n)) * self.weights[at]
+        return w / np.linalg.norm(w)
 
     def __post_init__(self) -> None:
-        self.weights = dict(self.vocabulary.values())
+        self.weights = np.array([w for _, w in sorted(self.vocabulary.values())])
         self.memo: dict[str, tuple[str, ...]] = {}
         self.bases = {t.rstrip("^") for t in self.vocabulary}
 
@@ -115,42 +113,36 @@ class Examples:
         counts = self.count(text)
         if not counts or not len(self.ids):
             return self.bare, []
-        top, cosine = self.nearest(*self.vector(counts), k)
+        at = np.array(sorted(counts), np.int64)
+        top, cosine = self.nearest(at, self.vector(at, np.array([counts[i] for i in at.tolist()], float)), k)
         vote = cosine**4
         weight = vote @ self.total[top]
         return float((vote @ self.positive[top] + pull * self.rate) / (weight + pull)), self.ids[top[:3]].tolist()
 
 
-def build(rows: list[tuple[int, int, dict[int, int]]], vocabulary: dict[str, tuple[int, float]], rate: float, block: int = 64) -> Examples:
-    """Examples (doc_id, label, term counts) -> index."""
+def build(rows: list[tuple[int, int, int, np.ndarray, np.ndarray]], vocabulary: dict[str, tuple[int, float]], rate: float, block: int = 64) -> Examples:
+    """Distinct vectors (smallest doc_id, positive, total, sorted terms, their counts) -> index."""
     index = Examples(vocabulary, rate, rate, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [], np.zeros((len(vocabulary), 0)), block)
-    entries: dict[tuple, list] = {}
-    bare = [0, 0]
-    for doc, label, counts in sorted(rows):
-        if not counts:
-            bare[label] += 1
-            continue
-        entry = entries.setdefault(tuple(sorted(counts.items())), [doc, 0, 0])
-        entry[1 + label] += 1
-    index.bare = (bare[1] + rate) / (sum(bare) + 1)
-    vectors = [(index.vector(dict(key)), *value) for key, value in entries.items()]
-    vectors.sort(key=lambda x: (int(x[0][0][np.argmax(x[0][1])]), -float(x[0][1].max()), x[1]))
-    n = len(vectors)
-    index.ids = np.array([v[1] for v in vectors], np.int64)
+    bare = [r for r in rows if not len(r[3])]
+    index.bare = (sum(r[1] for r in bare) + rate) / (sum(r[2] for r in bare) + 1)
+    vectors = [(at, index.vector(at, n), doc, p, t) for doc, p, t, at, n in rows if len(at)]
+    vectors.sort(key=lambda v: (int(v[0][np.argmax(v[1])]), -float(v[1].max()), v[2]))
+    index.ids = np.array([v[2] for v in vectors], np.int64)
     index.positive = np.array([v[3] for v in vectors], float)
-    index.total = np.array([v[2] + v[3] for v in vectors], float)
-    index.largest = np.zeros((len(vocabulary), -(-n // block)), np.float64)
-    lists: list[tuple[list, list]] = [([], []) for _ in vocabulary]
-    for e, ((at, w), *_) in enumerate(vectors):
-        for i, x in zip(at.tolist(), w.tolist(), strict=True):
-            lists[i][0].append(e)
-            lists[i][1].append(x)
-            index.largest[i, e // block] = max(index.largest[i, e // block], x)
-    index.postings = [(np.array(a, np.int64), np.array(b)) for a, b in lists]
+    index.total = np.array([v[4] for v in vectors], float)
+    index.largest = np.zeros((len(vocabulary), -(-len(vectors) // block)))
+    if not vectors:
+        return index
+    terms_of, weights = np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors])
+    entries = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+    np.maximum.at(index.largest, (terms_of, entries // block), weights)
+    order = np.argsort(terms_of, kind="stable")
+    ends = np.searchsorted(terms_of[order], np.arange(len(vocabulary) + 1))
+    index.postings = [(entries[order[a:b]], weights[order[a:b]]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_terms: int = 4096, most_examples: int = 40_000) -> Examples:
+def fit(docs: DataFrame, labels: DataFrame, most_terms: int = 4096, most_examples: int = 20_000) -> Examples:
     """Learns from documents with a label (doc_id, toxic), all of them for the counts, ``most_examples`` by hash for the examples."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = stored(documents(docs).join(known, "doc_id"))
@@ -187,12 +179,18 @@ def fit(docs: DataFrame, labels: DataFrame, most_terms: int = 4096, most_example
 
     def vectors(batches):
         for batch in batches:
-            counts = [shape.count(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["doc_id", "toxic", "at", "n"])
+            counts = [sorted(shape.count(t).items()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([[i for i, _ in c] for c in counts], pa.list_(pa.int32())), pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))], names=["doc_id", "toxic", "at", "n"])
 
     last = rows.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(most_examples).agg(F.max("h")).first()[0]
-    picked = rows.where(F.xxhash64("doc_id") <= F.lit(last)).select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, at array<int>, n array<int>").collect()  # most_examples rows of chosen terms
-    return build([(r.doc_id, r.toxic, dict(zip(r["at"], r.n, strict=True))) for r in picked], vocabulary, rate)
+    picked = rows.where(F.xxhash64("doc_id") <= F.lit(last)).select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, at array<int>, n array<int>")
+    found = picked.groupBy("at", "n").agg(F.min("doc_id").alias("doc"), F.sum("toxic").alias("positive"), F.count("*").alias("total")).orderBy("doc").toArrow()  # most_examples rows at most
+    lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (found.column("at").combine_chunks(), found.column("n").combine_chunks())]
+    examples = [
+        (doc, p, t, lists[0][0][a:b].astype(np.int64), lists[1][0][c : c + b - a].astype(float))
+        for doc, p, t, a, b, c in zip(*(found.column(x).to_pylist() for x in ("doc", "positive", "total")), lists[0][1][:-1].tolist(), lists[0][1][1:].tolist(), lists[1][1][:-1].tolist(), strict=True)
+    ]
+    return build(examples, vocabulary, rate)
 
 
 def score(docs: DataFrame, examples: Examples, k: int = 15, pull: float = 0.25, threshold: float = 0.7) -> DataFrame:
