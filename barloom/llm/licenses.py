@@ -113,7 +113,8 @@ class Scanner:
         parts = [p for p in matcher.get_matching_blocks() if p.size]
         if not parts or sum(p.size for p in parts) < self.cover * len(own) - 1e-9:
             return None
-        first, last = parts[0].b, parts[-1].b + parts[-1].size
+        ends = parts[-1].a + parts[-1].size, parts[-1].b + parts[-1].size
+        first, last = max(0, parts[0].b - parts[0].a), min(len(theirs), ends[1] + len(own) - ends[0])  # reworded ends count
         told, missing, added = [], 0, 0
         for op, a, b, c, d in matcher.get_opcodes():
             c, d = max(c, first), min(d, last)
