@@ -364,14 +364,16 @@ def without_repeats(docs: DataFrame, length: int = 400, k: int = 64) -> DataFram
     """docs with what is left of each text, and its n_chars; a character of which only some bytes are left goes too."""
 
     names = docs.columns
+    inner = {n: n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(names)}
+    kept = remove_repeats(docs.select(*[F.col(f"`{n}`").alias(inner[n]) for n in names]), length, k)
+    schema = kept.select(*inner.values()).schema
 
     def run(batches):
         for batch in batches:
             texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
-            columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
+            columns = {n: batch.column(c) for n, c in inner.items()} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(x) for x in texts], pa.int64()).cast(columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(inner.values()))
 
-    kept = remove_repeats(docs, length, k)
-    return kept.select(*docs.columns, "kept").mapInArrow(run, kept.select(*docs.columns).schema)
+    return kept.select(*inner.values(), "kept").mapInArrow(run, schema).toDF(*names)

@@ -216,7 +216,7 @@ def test_notices_and_their_wording(spark):
     got = licenses.scan(frame(spark, rows)).collect()
     assert sorted((x.doc_id or 0, x.license) for x in got) == [(0, "GPL-3.0-short"), (1, "GPL-3.0-short"), (2, "GPL-3.0-short"), (6, "MIT"), (7, "GPL-3.0-short"), *[(8, "CC-BY-NC-4.0-short"), (8, "MIT-short")] * 2][:5] + sorted([(8, "CC-BY-NC-4.0-short"), (8, "MIT-short")] * 2)
     by = {x.doc_id: x for x in got}
-    assert by[2].differences == ["-3 +2"] and by[1].differences == [] and by[6].n_missing == 6
+    assert by[2].differences == ["-3 +2"] and by[1].differences == [] and by[6].n_missing == 5
     text = dict((d, t) for d, t in rows if d is not None)
     assert text[7][by[7].start : by[7].stop] == short.rstrip(".")
     assert licenses.scan(frame(spark, [])).count() == 0
@@ -315,7 +315,7 @@ def test_linked_sets_share_a_key():
         if len(b) and 100 * same >= 80 * (len(a) + len(b) - same):
             assert np.intersect1d(jaccard.keys(a, common, 80), jaccard.keys(b, common, 80)).size
             bits = jaccard.parity_bits(a) ^ jaccard.parity_bits(b)
-            assert np.bitwise_count(bits).sum() <= len(a) + len(b) - 2 * same
+            assert np.bitwise_count(bits.view(np.uint64)).sum() <= len(a) + len(b) - 2 * same
 
 
 # repeats
