@@ -21,10 +21,11 @@ def calibrate_temperature(df: DataFrame, by: Sequence[str], min_rows: int = 30)
 
     df: by, p_up, p_side, p_down, actual_class. The grid is unnested per row and
     averaged map-side at once, so only (group, temperature) sums are shuffled.
+    Rows whose class is NULL or unknown are neither scored nor counted.
     """
     logs = F.array(*[F.log(clip(c, 1e-9, 1.0)) for c in ("p_up", "p_side", "p_down")])
     pick = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("actual_class")).cast("int")
-    rows = df.select(*by, logs.alias("_l"), pick.alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("step"))
+    rows = df.where(F.col("actual_class").isin(*CLASSES)).select(*by, logs.alias("_l"), pick.alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("step"))
     t = 0.25 + F.col("step") * (3.75 / (GRID - 1))
     top = F.array_max("_l")
     e = [F.exp((F.col("_l")[i] - top) / t) for i in range(3)]

@@ -19,7 +19,13 @@ DOUBLES2 = T.ArrayType(DOUBLES)
 # ---- features in array form -------------------------------------------------------
 
 def pack(df: DataFrame, names: Sequence[str], out: str = "x") -> DataFrame:
-    return df.withColumn(out, F.array(*[F.col(n).cast("double") for n in names]))
+    return df.withColumn(out, F.array(*[_number(n) for n in names]))
+
+
+def _number(name: str) -> Column:
+    """A feature as double; NaN is missing like NULL."""
+    c = F.col(name).cast("double")
+    return F.when(~F.isnan(c), c)
 
 
 def fit_scaler(df: DataFrame, names: Sequence[str], by: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -29,7 +35,7 @@ def fit_scaler(df: DataFrame, names: Sequence[str], by: Sequence[str], weight: s
     exact over the rows of a group, which are anchors (calendar-bounded).
     """
     w = F.col(weight) if weight else F.lit(1.0)
-    long = df.select(*by, w.alias("_w"), F.posexplode(F.array(*[F.col(n).cast("double") for n in names])).alias("_i", "_v"))
+    long = df.select(*by, w.alias("_w"), F.posexplode(F.array(*[_number(n) for n in names])).alias("_i", "_v"))
     med = long.groupBy(*by, "_i").agg(F.coalesce(F.expr("percentile(_v, 0.5)"), F.lit(0.0)).alias("_med"))
     filled = long.join(med, [*by, "_i"]).withColumn("_x", F.coalesce("_v", "_med"))
     s = filled.groupBy(*by, "_i").agg(
@@ -213,7 +219,7 @@ def fit_stumps(df: DataFrame, by: Sequence[str], features: int, outputs: int, ro
 def ood_fit(df: DataFrame, names: Sequence[str], by: Sequence[str], shrinkage: float = 0.20) -> DataFrame:
     """Quantile bounds, robust centre and scale, and the shrunk precision matrix of the features per group."""
     keys = list(by)
-    long = df.select(*keys, F.posexplode(F.array(*[F.col(n).cast("double") for n in names])).alias("_i", "_v"))
+    long = df.select(*keys, F.posexplode(F.array(*[_number(n) for n in names])).alias("_i", "_v"))
     q = long.groupBy(*keys, "_i").agg(F.expr("percentile(_v, array(0.01, 0.25, 0.5, 0.75, 0.99))").alias("_q"))
     stats = q.select(*keys, "_i", *[F.col("_q")[i].alias(n) for i, n in enumerate(("lo", "q1", "mid", "q3", "hi"))])
     rows = F.array_sort(F.collect_list(F.struct("_i", "lo", "mid", "hi", F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(1e-9)).alias("rs"))))

@@ -268,7 +268,7 @@ REG.sql["similarity_forecasts"] = with_views(
 
 REG.sql["stratified_fan"] = with_views(
     f"""select f.symbol, f.rn as anchor, f.st as stratum, count(*) as draws, {r('avg(exp(ln(1 + p.ret) + q.res * 0.1) - 1)')} as mean_terminal from (
-      select d.symbol, d.rn, i, n.st, ('0x' || md5('{SEED}:' || d.symbol || ':' || d.rn || ':' || i)[1:8])::bigint % n.n as idx from (select distinct symbol, rn from lp where rn % 26 = 0) d, range(0, {NS}) g(i), (select symbol, st, max(j) + 1 as n from ps2 group by all) n
+      select d.symbol, d.rn, i, n.st, ('0x' || md5('{SEED}:' || d.symbol || ':' || d.rn || ':' || i)[1:8])::bigint % n.n as idx from (select distinct symbol, rn from lp) d, range(0, {NS}) g(i), (select symbol, st, max(j) + 1 as n from ps2 group by all) n
       where n.symbol = d.symbol and n.st = case when i < 42 then 0 else 1 end) f
     join lp p on p.symbol = f.symbol and p.rn = f.rn and p.step = 13 join ps2 q on q.symbol = f.symbol and q.st = f.st and q.j = f.idx group by f.symbol, f.rn, f.st""",
     **LP, pool=FAN["pool"],

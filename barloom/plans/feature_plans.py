@@ -296,7 +296,7 @@ def _(spark, sf):
 
 # ---- turning points ------------------------------------------------------------------------
 
-EVERY, BACK, AHEAD = 13, 60, 13
+EVERY, BACK, AHEAD = 1, 60, 13
 
 _WIN = {
     "win": f"""select b.symbol, a.rn as anchor, b.rn - a.rn as step, b.trade_date, b.open, b.high, b.low, b.close from wn b

@@ -131,11 +131,11 @@ def _(spark, sf):
 
 
 def _prices(spark, sf):
-    d = V.bars_daily(spark, sf).where("symbol like 'A%'")
-    return d.select(F.substring("symbol", 2, 1).alias("symbol"), "trade_date", "close")
+    """Closes per line status, which is what trades name: the mean over the series of that status."""
+    return V.bars_daily(spark, sf).groupBy(F.substring("symbol", 2, 1).alias("symbol"), "trade_date").agg(F.avg("close").alias("close"))
 
 
-PX = {"px": "select symbol[2] as symbol, trade_date, close from d where symbol like 'A%'"}
+PX = {"px": "select symbol[2] as symbol, trade_date, avg(close) as close from d group by all"}
 
 
 @REG.add(

@@ -256,19 +256,19 @@ NS, SEED = 60, 341
 
 
 def _fan_inputs(spark, sf):
-    """Forecast = the previous 13-week path, residuals = its later log errors, at every 13th anchor."""
+    """Forecast = the previous 13-week path, residuals = its later log errors, at every anchor."""
     t = table(spark, sf).where("path is not null").select("symbol", "ordinal", "path")
     old = t.select("symbol", (F.col("ordinal") + 13).alias("ordinal"), F.col("path").alias("predicted"))
     e = L.residual_records(t.join(old, ["symbol", "ordinal"]).withColumn("sigma", F.lit(0.5)), "predicted", "path", "sigma")
     pool = SC.number_pool(e.select("symbol", "ordinal", F.col("standardised").alias("residual")), ["symbol"], ["ordinal"])
-    fc = t.where(F.col("ordinal") % 26 == 0).select("symbol", F.col("ordinal").alias("anchor"), "path", F.lit(0.1).alias("sigma"))
+    fc = t.select("symbol", F.col("ordinal").alias("anchor"), "path", F.lit(0.1).alias("sigma"))
     return fc, pool
 
 
 FAN = {
     "pool": """select a.symbol, a.rn, a.step, (ln(1 + a.ret) - ln(1 + b.ret)) / 0.5 as res, dense_rank() over (partition by a.symbol order by a.rn) - 1 as idx from lp a join lp b on b.symbol = a.symbol and b.rn = a.rn - 13 and b.step = a.step""",
     "fan": f"""select f.symbol, f.rn as anchor, f.sc as scenario, f.idx as pool_idx, p.step, exp(ln(1 + p.ret) + q.res * 0.1) - 1 as ret from (
-      select d.symbol, d.rn, i as sc, ('0x' || md5('{SEED}:' || d.symbol || ':' || d.rn || ':' || i)[1:8])::bigint % n.n as idx from (select distinct symbol, rn from lp where rn % 26 = 0) d, range(0, {NS}) g(i), (select symbol, max(idx) + 1 as n from pool group by symbol) n where n.symbol = d.symbol) f
+      select d.symbol, d.rn, i as sc, ('0x' || md5('{SEED}:' || d.symbol || ':' || d.rn || ':' || i)[1:8])::bigint % n.n as idx from (select distinct symbol, rn from lp) d, range(0, {NS}) g(i), (select symbol, max(idx) + 1 as n from pool group by symbol) n where n.symbol = d.symbol) f
       join lp p on p.symbol = f.symbol and p.rn = f.rn join pool q on q.symbol = f.symbol and q.idx = f.idx and q.step = p.step""",
     "fq": "select symbol, anchor, step, quantile_cont(ret, 0.1) as p10, quantile_cont(ret, 0.5) as p50, quantile_cont(ret, 0.9) as p90, stddev_pop(ret) as dev from fan group by all",
 }

@@ -35,12 +35,24 @@ def _(spark, sf):
     return J.bars_view(spark, out).drop("period_end", "last_tick")
 
 
-@REG.add("streamed_corrections", "T-02", "select event_type as series, ts::date::varchar as d, arg_max(value, event_id) as value from events group by all")
+_LATE = "case when event_id % 5 = 0 then 3 when event_type = 'click' then 2 when dayofmonth(ts) <= 10 then 0 when dayofmonth(ts) <= 20 then 1 else 2 end"
+
+
+@REG.add(
+    "streamed_corrections",
+    "T-02",
+    f"select event_type as series, ts::date::varchar as d, arg_max(value, ({_LATE}) * 1000000000::bigint + event_id) as value from events group by all",
+)
 def _(spark, sf):
-    e = _events(spark, sf).select(F.col("event_type").alias("series"), F.col("ts").cast("date").alias("d"), "value", "event_id")
-    out = _dir(spark, "fix")
-    J.run_batches(e, J.correction_sink(spark, out, ["series", "d"], ["value"], ["event_id"], "d"), _dir(spark, "cp"), "append").awaitTermination()
-    return J.current_table(spark, out, ["series", "d"], ["value"])
+    """Four deliveries: two by date, one in which a series comes first, and one of corrections to all dates."""
+    folder, out = _dir(spark, "deliveries"), _dir(spark, "fix")
+    events = V.table(spark, sf, "events").withColumn("delivery", F.expr(_LATE))
+    for i in range(4):
+        events.where(F.col("delivery") == i).drop("delivery").coalesce(1).write.mode("append").parquet(folder)
+    e = J.read_stream(spark, folder, "*.parquet", V.table(spark, sf, "events").schema, files_per_trigger=1)
+    e = e.select(F.col("event_type").alias("series"), F.col("ts").cast("date").alias("d"), "value", "event_id")
+    J.run_batches(e, J.correction_sink(spark, out, ["series", "d"], ["value"], ["event_id"], whole_every=2), _dir(spark, "cp"), "append").awaitTermination()
+    return J.current_table(spark, out, ["series", "d"], ["value"], whole_every=2)
 
 
 @REG.add("streamed_revisions", "T-03", "select event_type as series, count(*) as revisions, max(event_id) as last_revision from events group by event_type")

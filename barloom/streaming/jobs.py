@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -63,39 +64,50 @@ def run_bars(ticks: DataFrame, order: Sequence[str], out: str, checkpoint: str,
 
 # ---- late corrections ------------------------------------------------------------------
 
-def correction_sink(spark: SparkSession, out: str, keys: Sequence[str], values: Sequence[str], order: Sequence[str], t: str, overlap_days: int = 14) -> Callable[[DataFrame, int], None]:
+def correction_sink(spark: SparkSession, out: str, keys: Sequence[str], values: Sequence[str], order: Sequence[str], whole_every: int = 10) -> Callable[[DataFrame, int], None]:
     """Upsert each batch into a log of changes: the last record per key wins, unchanged rows are not written.
 
-    Rows older than the overlap before the newest stored date are left to a full reload.
+    Every row is applied, however old its date and however late its key is first seen. Every ``whole_every``-th batch
+    writes the whole table, so a read needs that one and the changes after it.
     """
     def sink(df: DataFrame, batch_id: int) -> None:
         batch = latest(df.select(*keys, *values, *[c for c in order if c not in keys and c not in values]), keys, order).select(*keys, *values)
-        stored = current_table(spark, out, keys, values, before=batch_id)
+        stored = current_table(spark, out, keys, values, before=batch_id, whole_every=whole_every)
         if stored is None:
             write_batch(batch.withColumn("outcome", F.lit("added")), out, batch_id)
             return
-        edge = stored.select(F.date_sub(F.max(t), overlap_days)).scalar()
-        fresh = batch.where(F.col(t) >= edge)
-        merged, audit = upsert(stored, fresh, keys, values)
-        changed = merged.join(audit.where(F.col("outcome").isin("added", "updated")), list(keys))
-        write_batch(changed, out, batch_id)
+        merged, audit = upsert(stored, batch, keys, values)
+        outcomes = audit.where(F.col("outcome").isin("added", "updated")).select(*keys, "outcome")
+        write_batch(merged.select(*keys, *values).join(outcomes, list(keys), "inner" if batch_id % whole_every else "left"), out, batch_id)
 
     return sink
 
 
-def current_table(spark: SparkSession, out: str, keys: Sequence[str], values: Sequence[str], before: int | None = None) -> DataFrame | None:
-    """Latest version per key from the change log, or None while there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+def change_log(spark: SparkSession, out: str) -> DataFrame | None:
+    """The log with its batch_id, or None while nothing has been written."""
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def current_table(spark: SparkSession, out: str, keys: Sequence[str], values: Sequence[str], before: int | None = None, whole_every: int | None = None) -> DataFrame | None:
+    """Latest version per key from the change log, or None while there is none.
+
+    ``before``: batches from this one on do not count. ``whole_every``: the log holds the whole table so often.
+    """
+    log = change_log(spark, out)
+    if log is None:
         return None
-    folders = [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("batch_id=")]
-    ids = [int(f.split("=")[1]) for f in folders]
     if before is not None:
-        ids = [i for i in ids if i < before]
-    if not ids:
+        log = log.where(F.col("batch_id") < before)
+    last = log.select(F.max("batch_id")).first()[0]
+    if last is None:
         return None
-    log = spark.read.option("basePath", out).parquet(*[batch_folder(out, i) for i in ids])
+    if whole_every:
+        log = log.where(F.col("batch_id") >= last // whole_every * whole_every)
     return latest(log.select(*keys, *values, "batch_id"), keys, ["batch_id"]).select(*keys, *values)
 
 
