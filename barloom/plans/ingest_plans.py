@@ -457,11 +457,11 @@ def _(spark, sf):
     "J-04 J-08",
     with_views(
         f"""select account_id, count(m.close) as matched, {r('sum(floor(m.close * 100))')} as total_cents, max(m.trade_date)::varchar as last_price_date
-        from trd t asof left join (select symbol[2] as symbol, trade_date, avg(close) as close from d group by all) m on m.symbol = t.symbol and t.trade_date >= m.trade_date group by account_id"""
+        from trd t asof left join (select symbol[2] as symbol, trade_date, max(close) as close from d group by all) m on m.symbol = t.symbol and t.trade_date >= m.trade_date group by account_id"""
     ),
 )
 def _(spark, sf):
-    d = V.bars_daily(spark, sf).groupBy(F.substring("symbol", 2, 1).alias("symbol"), F.col("trade_date").alias("price_date")).agg(F.avg("close").alias("close"))
+    d = V.bars_daily(spark, sf).groupBy(F.substring("symbol", 2, 1).alias("symbol"), F.col("trade_date").alias("price_date")).agg(F.max("close").alias("close"))
     hit = P.asof_join(V.trades(spark, sf).select("account_id", "symbol", "trade_date"), d, ["symbol"], "trade_date", "price_date", ["close"])
     return hit.groupBy("account_id").agg(F.count("close").alias("matched"), F.sum(F.floor(F.col("close") * 100)).cast("double").alias("total_cents"), F.max("matched_price_date").alias("last_price_date"))
 
