@@ -178,3 +178,33 @@ def test_analogue_quantiles_blend(spark):
     q = np.quantile([i / 10.0 for i in range(-16, 17)], [0.1, 0.5, 0.9])
     w = 33 / 320
     assert np.allclose([r.p10, r.p50, r.p90], [0.1 + (1 - w) * m + w * x for m, x in zip((-0.2, 0.0, 0.2), q)])
+
+
+def test_scaler_takes_nan_as_missing(spark):
+    rows = [("a", float("nan"), 1.0), ("a", 1.0, 1.0), ("a", 3.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = M.fit_scaler(df, ["x", "y"], ["g"]).first()
+    assert list(got.medians) == [2.0, 1.0] and list(got.means) == [2.0, 1.0] and math.isclose(got.scales[0], math.sqrt(2 / 3))
+
+
+def test_unknown_classes_are_neither_scored_nor_counted(spark):
+    rows = [("m", 0.7, 0.2, 0.1, c) for c in ["UP", "UP", "DOWN", None, "OTHER"]]
+    df = spark.createDataFrame(rows, "g string, p_up double, p_side double, p_down double, actual_class string")
+    with_all, known = (C.calibrate_temperature(d, ["g"], min_rows=1).first() for d in (df, df.where("actual_class in ('UP', 'DOWN')")))
+    assert with_all == known and with_all.n == 3
+
+
+def test_corrections_of_any_age_and_late_keys_are_applied(spark, tmp_path):
+    out = str(tmp_path / "log")
+    sink = J.correction_sink(spark, out, ["k", "d"], ["v"], ["n"], whole_every=2)
+    batches = [
+        [("a", "2024-01-01", 1.0, 1), ("a", "2024-03-01", 2.0, 2), ("a", "2024-03-01", 2.5, 3)],
+        [("a", "2024-01-01", 9.0, 4), ("b", "2024-01-06", 5.0, 5)],
+        [("a", "2024-03-01", 2.5, 6)],
+        [("b", "2023-01-01", 7.0, 7), ("b", "2024-01-06", 6.0, 8)],
+    ]
+    for i, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, "k string, d string, v double, n int"), i)
+    now = {(r.k, r.d): r.v for r in J.current_table(spark, out, ["k", "d"], ["v"], whole_every=2).collect()}
+    assert now == {("a", "2024-01-01"): 9.0, ("a", "2024-03-01"): 2.5, ("b", "2024-01-06"): 6.0, ("b", "2023-01-01"): 7.0}
+    assert J.current_table(spark, str(tmp_path / "none"), ["k", "d"], ["v"]) is None
