@@ -65,6 +65,7 @@ class Examples:
     total: np.ndarray
     postings: list[tuple[np.ndarray, np.ndarray]]
     largest: np.ndarray
+    starts: np.ndarray
     block: int = 64
 
     def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -74,6 +75,7 @@ class Examples:
     def __post_init__(self) -> None:
         self.weights = np.array([w for _, w in sorted(self.vocabulary.values())])
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.told: dict[tuple, tuple[float, list[int]]] = {}
         self.bases = {t.rstrip("^") for t in self.vocabulary}
 
     def count(self, text: str) -> dict[int, int]:
@@ -85,44 +87,48 @@ class Examples:
                 memo[word] = tuple(t for t in terms(word) if t in self.bases)
         return {self.vocabulary[t][0]: n for t, n in term_counts(words, memo).items() if t in self.vocabulary}
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and cosines of the k nearest with a cosine above 0, exactly."""
-        n = len(self.ids)
-        bounds = w @ self.largest[at]
-        first = np.argsort(-bounds, kind="stable")[: -(-k // self.block) + 1]
-        on = np.zeros(len(bounds), bool)
-        on[first] = True
-        scores = self._scores(at, w, on, n)
-        floor = np.partition(scores, n - k)[n - k] if n > k else 0.0
-        rest = (bounds >= floor - 1e-9) & (bounds > 0) & ~on
-        if rest.any():
-            scores += self._scores(at, w, rest, n)
-        top = np.argsort(-np.round(scores, 9), kind="stable")[:k]
-        top = top[scores[top] > 0]
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Entries and cosines of the k nearest with a cosine above 0, exactly: blocks by falling bound, until none can reach the k-th best."""
+        most = self.largest[at]
+        bounds = w @ most
+        order = np.argsort(-bounds, kind="stable")
+        scores, floor, done = np.zeros(len(self.ids)), 0.0, 0
+        while done < len(order) and bounds[order[done]] > 0 and bounds[order[done]] >= floor - 1e-9:
+            part = order[done : done + step]
+            terms_in, blocks_in = np.nonzero(most[:, part])
+            entries, weights = [], []
+            for t, block in zip(terms_in.tolist(), part[blocks_in].tolist(), strict=True):
+                i = at[t]
+                of, values = self.postings[i]
+                low, high = self.starts[i, block], self.starts[i, block + 1]
+                entries.append(of[low:high])
+                weights.append(values[low:high] * w[t])
+            scores += np.bincount(np.concatenate(entries), np.concatenate(weights), len(scores))
+            done += step
+            step *= 2
+            floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+        top = np.flatnonzero(scores >= floor - 1e-9) if floor > 0 else np.flatnonzero(scores > 0)
+        top = top[np.argsort(-np.round(scores[top], 9), kind="stable")][:k]
         return top, np.minimum(scores[top], 1.0)
 
-    def _scores(self, at: np.ndarray, w: np.ndarray, on: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(n)
-        for i, x in zip(at.tolist(), w.tolist(), strict=True):
-            entries, weights = self.postings[i]
-            use = on[entries // self.block]
-            out[entries[use]] += x * weights[use]
-        return out
-
     def score(self, text: str, k: int, pull: float) -> tuple[float, list[int]]:
         counts = self.count(text)
         if not counts or not len(self.ids):
             return self.bare, []
-        at = np.array(sorted(counts), np.int64)
-        top, cosine = self.nearest(at, self.vector(at, np.array([counts[i] for i in at.tolist()], float)), k)
-        vote = cosine**4
-        weight = vote @ self.total[top]
-        return float((vote @ self.positive[top] + pull * self.rate) / (weight + pull)), self.ids[top[:3]].tolist()
+        key = tuple(sorted(counts.items()))
+        if key not in self.told:
+            if len(self.told) > 50_000:
+                self.told.clear()
+            at, n = np.array([i for i, _ in key], np.int64), np.array([x for _, x in key], float)
+            top, cosine = self.nearest(at, self.vector(at, n), k)
+            vote = cosine**4
+            self.told[key] = float((vote @ self.positive[top] + pull * self.rate) / (vote @ self.total[top] + pull)), self.ids[top[:3]].tolist()
+        return self.told[key]
 
 
 def build(rows: list[tuple[int, int, int, np.ndarray, np.ndarray]], vocabulary: dict[str, tuple[int, float]], rate: float, block: int = 64) -> Examples:
     """Distinct vectors (smallest doc_id, positive, total, sorted terms, their counts) -> index."""
-    index = Examples(vocabulary, rate, rate, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [], np.zeros((len(vocabulary), 0)), block)
+    index = Examples(vocabulary, rate, rate, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [], np.zeros((len(vocabulary), 0)), np.zeros((len(vocabulary), 1), np.int64), block)
     bare = [r for r in rows if not len(r[3])]
     index.bare = (sum(r[1] for r in bare) + rate) / (sum(r[2] for r in bare) + 1)
     vectors = [(at, index.vector(at, n), doc, p, t) for doc, p, t, at, n in rows if len(at)]
@@ -139,6 +145,8 @@ def build(rows: list[tuple[int, int, int, np.ndarray, np.ndarray]], vocabulary:
     order = np.argsort(terms_of, kind="stable")
     ends = np.searchsorted(terms_of[order], np.arange(len(vocabulary) + 1))
     index.postings = [(entries[order[a:b]], weights[order[a:b]]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    blocks = np.arange(index.largest.shape[1] + 1) * block
+    index.starts = np.array([np.searchsorted(e, blocks) for e, _ in index.postings])
     return index
 
 
