@@ -2,7 +2,7 @@
 
 Terms are lower-cased words and their beginnings of 3, 4 and 5 letters, and each of them marked where it makes up 1/128
 or 1/64 of a text's words or more. Counts over all labelled training rows choose the
-terms whose presence goes with the label beyond chance (likelihood ratio against the number of terms tried). A bounded
+terms most of whose rows have the label, beyond chance (likelihood ratio against the number of terms tried). A bounded
 sample of training rows, as TF-IDF vectors over these terms, is the example set; equal vectors are one entry with its
 label counts. A text's nearest entries by cosine are found exactly: entries lie in blocks, every term knows its largest
 weight in each block, and blocks whose bound cannot reach the k-th best are skipped. Votes fall with the distance and are
@@ -150,8 +150,11 @@ def build(rows: list[tuple[int, int, int, np.ndarray, np.ndarray]], vocabulary:
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_terms: int = 4096, most_examples: int = 20_000) -> Examples:
-    """Learns from documents with a label (doc_id, toxic), all of them for the counts, ``most_examples`` by hash for the examples."""
+def fit(docs: DataFrame, labels: DataFrame, most_terms: int = 4096, most_examples: int = 20_000, share: float = 0.5) -> Examples:
+    """Learns from documents with a label (doc_id, toxic), all of them for the counts, ``most_examples`` by hash for the examples.
+
+    ``share``: of the rows with a term, how many have label 1 at least.
+    """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = stored(documents(docs).join(known, "doc_id"))
 
@@ -181,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_terms: int = 4096, most_example
     part = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
     without_p, without_n, without = positive - F.col("p"), negative - F.col("n"), positive + negative - both
     ratio = 2 * (part(F.col("p"), both * rate) + part(F.col("n"), both * (1 - rate)) + part(without_p, without * rate) + part(without_n, without * (1 - rate)))
-    chosen = table.where(F.col("p") > both * rate).withColumn("ratio", ratio).where(F.col("ratio") > 2 * math.log(max(2, tried)) + 6).orderBy(F.desc("ratio"), "term").limit(most_terms).collect()
+    chosen = table.where((F.col("p") > both * rate) & (F.col("p") >= both * share)).withColumn("ratio", ratio).where(F.col("ratio") > 2 * math.log(max(2, tried)) + 6).orderBy(F.desc("ratio"), "term").limit(most_terms).collect()
     vocabulary = {r.term: (i, math.log((1 + positive + negative) / (1 + r.p + r.n)) + 1) for i, r in enumerate(chosen)}
     shape = build([], vocabulary, rate)
 
