@@ -70,4 +70,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_toxicity, op4_packing, op5_lm_scoring, op6_ngram_jaccard, op7_embedding_dedup, op8_sharding, op9_nearest_vectors, op10_suffix_dedup)}
-SQL: dict[str, str] = {}
+
+_REACH = """r(id, root) as (select id, id from n union select r.id, k.b from r join (select a, b from l union all select b, a from l) k on k.a = r.root)"""
+
+SQL: dict[str, str] = {
+    "op6_ngram_jaccard": f"""with recursive
+      d as (select doc_id as id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+      g as (select id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g from d),
+      n as (select id, len(g) as n from g),
+      e as (select id, unnest(g) as h from g),
+      p as (select x.id as a, y.id as b, count(*) as c from e x join e y on x.h = y.h and x.id < y.id group by all),
+      l as (select p.a, p.b from p join n x on x.id = p.a join n y on y.id = p.b where 100 * c >= 80 * (x.n + y.n - c)),
+      {_REACH}
+      select n.id as doc_id, n.n as n_shingles, c.root as component_id from n join (select id, min(root) as root from r group by id) c using (id)""",
+    "op7_embedding_dedup": f"""with recursive
+      v as (select vec_id as id, label, embedding::double[] as e from embeddings where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      l as (select x.id as a, y.id as b from v x join v y on x.label = y.label and x.id < y.id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.93),
+      n as (select vec_id as id from embeddings),
+      {_REACH}
+      select n.id as vec_id, (select count(*) from l where l.a = n.id or l.b = n.id) as n_links, c.root as component_id, n.id = c.root as kept from n join (select id, min(root) as root from r group by id) c using (id)""",
+}
