@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_terms: int = 4096, most_example
     ``share``: of the rows with a term, how many have label 1 at least.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = stored(documents(docs).join(known, "doc_id"))
+    rows = stored(documents(docs).join(known.hint("shuffle_hash"), "doc_id"))  # one plan at every size; the labels are the hashed side
 
     def count(batches):
         counted: dict[str, list[int]] = {}
