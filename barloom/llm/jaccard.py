@@ -216,7 +216,8 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = 5, rounds: i
 def one_of_each_group(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group; rows with a null doc_id stay. Of rows that share a doc_id one stays."""
     groups = similar_groups(docs, percent, width)
-    left = docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)  # one plan at every size
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return left
