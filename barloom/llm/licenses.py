@@ -2,8 +2,8 @@
 
 Blocks: a confirmed notice holds most of a template's words, so at least one of its longest words; one pass with a
 multi-pattern automaton finds these, and the lines around them are the candidate blocks. Each block is compressed alone
-and with every template as a raw dictionary of zstandard; the bytes saved rank the templates. The best ranked are
-confirmed by aligning their words with the block's: a notice needs ``cover`` of the template's words in order, and what
+and with every template as a raw dictionary of zstandard; the bytes saved rank the templates. Every template is
+compared by aligning its words with the block's, whatever its rank: a notice needs ``cover`` of the template's words in order, and what
 is missing, changed or added is told word by word. The fewest differences win, then the most bytes saved; what lies
 before and after a notice in its block is looked at again.
 
@@ -69,8 +69,8 @@ FOUND = "doc_id long, start long, stop long, license string, saved int, covered
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], cover: float, contenders: int, level: int) -> None:
-        self.cover, self.contenders = cover, contenders
+    def __init__(self, templates: dict[str, str], cover: float, level: int) -> None:
+        self.cover = cover
         self.words = {name: WORD.findall(text.lower()) for name, text in sorted(templates.items())}
         if not self.words or not all(self.words.values()):
             raise ValueError("templates need words")
@@ -131,8 +131,7 @@ class Scanner:
         while todo:
             start, stop = todo.pop()
             block = text[start:stop]
-            saved = [x for x in self.ranked(block) if x[0] > 0][: self.contenders]
-            found = [(c, n, name) for n, name in saved if (c := self.confirm(block, name))]
+            found = [(c, n, name) for n, name in self.ranked(block) if (c := self.confirm(block, name))]
             if not found:
                 continue
             (told, a, b, covered, missing, added), n, name = min(found, key=lambda x: (x[0][4] + x[0][5], -x[1], x[2]))
@@ -142,16 +141,16 @@ class Scanner:
 
 
 @functools.lru_cache(maxsize=2)
-def _scanner(templates: tuple, cover: float, contenders: int, level: int) -> Scanner:
-    return Scanner(dict(templates), cover, contenders, level)
+def _scanner(templates: tuple, cover: float, level: int) -> Scanner:
+    return Scanner(dict(templates), cover, level)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float = 0.8, contenders: int = 4, level: int = 3) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float = 0.8, level: int = 3) -> DataFrame:
     """A row per notice found: its place, its template, the bytes the template saves, and the exact differences."""
     given = tuple(sorted((templates or TEMPLATES).items()))
 
     def run(batches):
-        scanner = _scanner(given, cover, contenders, level)
+        scanner = _scanner(given, cover, level)
         for batch in batches:
             rows = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for x in scanner.scan(text)]
             columns = list(zip(*rows, strict=True)) or [()] * 9

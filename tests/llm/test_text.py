@@ -246,6 +246,19 @@ def test_notices_equal_brute_force(spark):
         assert (got.get(d) in best(t.split("\n")[-1])) if best(t.split("\n")[-1]) else d not in got
 
 
+def test_short_notices_inside_long_lines(spark):
+    """Long templates save more bytes on prose than the notice that stands there."""
+    prose = (
+        "Permission is granted to any person obtaining a copy of this software and associated files, without restriction and subject to the following conditions, to deal in it and to use it. "
+        "The source code is distributed in binary forms with or without changes, provided that the following conditions are met and the above copyright notice is kept in the documentation. "
+        "The program is free to share and you can pass it on or change it under the terms that the foundation publishes, either as it stands or in any later form. "
+        "Unless required by law or agreed in writing it comes without warranties of any kind, either express or implied, and you may not use this file except as told here. "
+    )
+    texts = [f"{prose}{licenses.TEMPLATES[n]} {prose}" for n in sorted(licenses.TEMPLATES) if n.endswith("short")]
+    got = {x.doc_id: (x.license, x.differences) for x in licenses.scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: (n, []) for i, n in enumerate(n for n in sorted(licenses.TEMPLATES) if n.endswith("short"))}
+
+
 # similar groups
 
 
