@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
 Blocks: a confirmed notice holds most of a template's words, so at least one of its longest words; one pass with a
-multi-pattern automaton finds these, and the lines around them are the candidate blocks. Each block is compressed alone
+multi-pattern automaton finds these, and the text within reach of them, over line ends, is the candidate block. Each block is compressed alone
 and with every template as a raw dictionary of zstandard; the bytes saved rank the templates. Every template is
 compared by aligning its words with the block's, whatever its rank: a notice needs ``cover`` of the template's words in order, and what
 is missing, changed or added is told word by word. The fewest differences win, then the most bytes saved; what lies
@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -85,19 +87,24 @@ class Scanner:
         self.given = {name: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in sorted(templates.items())}
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Lines with a marker and those up to one line away, joined; of a very long line what is within reach of one."""
+        """What lies within reach of a marker on both sides, whole words, over line ends; what overlaps is joined."""
         low = text.lower()
         low = low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
         out: list[tuple[int, int]] = []
-        for end, size in self.markers.iter(low):
-            a = max(text.rfind("\n", 0, end - size + 1) + 1, end - self.reach)
-            b = text.find("\n", end)
-            b = min(len(text) if b < 0 else b, end + self.reach)
-            if out and "\n" not in text[out[-1][1] + 1 : max(out[-1][1] + 1, a - 1)] and a - out[-1][1] <= self.reach:
-                out[-1] = (out[-1][0], max(out[-1][1], b))
+        for end, _ in self.markers.iter(low):
+            a, b = max(0, end - self.reach), min(len(text), end + self.reach)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
             else:
                 out.append((a, b))
-        return out
+        return [(self.edge(text, a, -1), self.edge(text, b, 1)) for a, b in out]
+
+    @staticmethod
+    def edge(text: str, at: int, step: int) -> int:
+        """``at``, moved out of a word that it would cut."""
+        while 0 < at < len(text) and WORD.match(text, at) and WORD.match(text, at - 1):
+            at += step
+        return at
 
     def ranked(self, block: str) -> list[tuple[int, str]]:
         """Bytes that each template saves, most first."""
@@ -105,23 +112,45 @@ class Scanner:
         alone = len(self.plain.compress(data))
         return sorted(((alone - len(c.compress(data)), name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
 
+    def windows(self, theirs: list[str], own: list[str]) -> list[tuple[int, int]]:
+        """Ranges of the block's words that may hold a notice, fewest missing and added words first; the whole block last.
+
+        A notice's words are aligned near each other, so that words of the text around it are not taken for its own.
+        """
+        codes = {w: i for i, w in enumerate(dict.fromkeys(own))}
+        words, n = np.array([codes.get(w, -1) for w in theirs]), len(theirs)
+        one, at = n + 1, np.arange(n + 1)
+        best = n - at  # differences * one + words right of the start
+        for w in own:
+            here = best + one
+            here[1:] = np.where(words == codes[w], np.minimum(here[1:], best[:-1]), here[1:])
+            best = np.minimum.accumulate(here - at * one) + at * one
+        ends = np.flatnonzero(best // one <= 2 * (1 - self.cover) * len(own) + 1 + 1e-9)
+        ends = ends[np.argsort(best[ends], kind="stable")]
+        return [*((n - int(best[e]) % one, int(e)) for e in ends), (0, n)]
+
     def confirm(self, block: str, name: str):
         """(differences, start, stop, share of words covered, missing, added) where the block words the template closely enough."""
         at = list(WORD.finditer(block))
         theirs, own = [m.group().lower() for m in at], self.words[name]
-        matcher = SequenceMatcher(None, own, theirs, autojunk=False)
+        if (Counter(own) & Counter(theirs)).total() < self.cover * len(own) - 1e-9:
+            return None
+        return next((x for low, high in self.windows(theirs, own) if (x := self.aligned(at, theirs, own, low, high))), None)
+
+    def aligned(self, at: list[re.Match], theirs: list[str], own: list[str], low: int, high: int):
+        """``confirm`` for the words from low to high; reworded ends count with the words that stand beside them."""
+        matcher = SequenceMatcher(None, own, theirs[low:high], autojunk=False)
         parts = [p for p in matcher.get_matching_blocks() if p.size]
         if not parts or sum(p.size for p in parts) < self.cover * len(own) - 1e-9:
             return None
-        ends = parts[-1].a + parts[-1].size, parts[-1].b + parts[-1].size
-        first, last = max(0, parts[0].b - parts[0].a), min(len(theirs), ends[1] + len(own) - ends[0])  # reworded ends count
+        begun, ended = low + parts[0].b, low + parts[-1].b + parts[-1].size
+        first, last = max(0, begun - parts[0].a), min(len(theirs), ended + len(own) - parts[-1].a - parts[-1].size)
         told, missing, added = [], 0, 0
-        for op, a, b, c, d in matcher.get_opcodes():
-            c, d = max(c, first), min(d, last)
-            if op == "equal" or a == b and c >= d:
+        for op, a, b, c, d in [("", 0, parts[0].a, first - low, begun - low), *matcher.get_opcodes(), ("", parts[-1].a + parts[-1].size, len(own), ended - low, last - low)]:
+            if op == "equal" or op and (low + d <= begun or low + c >= ended) or a == b and c >= d:
                 continue
-            missing, added = missing + b - a, added + max(0, d - c)
-            told.append(f"-{' '.join(own[a:b])} +{' '.join(theirs[c:d])}".replace("- ", "").strip())
+            missing, added = missing + b - a, added + d - c
+            told.append(f"-{' '.join(own[a:b])} +{' '.join(theirs[low + c : low + d])}".replace("- ", "").strip())
         if added > (1 - self.cover) * len(own) + 1:
             return None
         return told, at[first].start(), at[last - 1].end(), 1 - missing / len(own), missing, added

@@ -259,6 +259,18 @@ def test_short_notices_inside_long_lines(spark):
     assert got == {i: (n, []) for i, n in enumerate(n for n in sorted(licenses.TEMPLATES) if n.endswith("short"))}
 
 
+def test_notices_over_line_ends(spark):
+    rows, want = [], {}
+    for n, t in licenses.TEMPLATES.items():
+        words = t.split()
+        for cut in range(1, len(words)):
+            want[len(rows)] = n, []
+            rows.append((len(rows), f"Prose of no concern stands here.\n{' '.join(words[:cut])}\n{' '.join(words[cut:])}\nSo it ends."))
+    want[len(rows)] = "Apache-2.0-short", ["-under +beneath"]
+    rows.append((len(rows), "Prose under the line\nabout the version.\nLicensed beneath\nthe Apache License,\nVersion 2.0.\nUnder the text."))
+    assert {x.doc_id: (x.license, x.differences) for x in licenses.scan(frame(spark, rows)).collect()} == want
+
+
 # similar groups
 
 
