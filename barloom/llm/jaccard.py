@@ -117,14 +117,16 @@ def _profiles(rows: DataFrame, width: int, percent: int) -> DataFrame:
         seen: dict[bytes, None] = {}
         for batch in batches:
             n, ids, bits, key = [], [], [], []
-            for h in shingles(batch.column("text").to_pylist(), width):
+            known = batch.column("doc_id").is_valid().to_pylist()  # rows without a doc_id get no keys, so they do not stand for a class
+            for h, has_id in zip(shingles(batch.column("text").to_pylist(), width), known, strict=True):
                 u = np.unique(h)
                 name = hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None
                 n.append(len(u))
                 ids.append(name)
                 bits.append(parity_bits(u) if len(u) else None)
-                key.append(keys(u, common, percent).view(np.int64) if len(u) and name not in seen else None)
-                seen[name] = None
+                key.append(keys(u, common, percent).view(np.int64) if len(u) and has_id and name not in seen else None)
+                if has_id:
+                    seen[name] = None
                 if len(seen) > REMEMBER:
                     seen.pop(next(iter(seen)))
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(key, pa.list_(pa.int64()))]

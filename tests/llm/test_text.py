@@ -323,6 +323,14 @@ def test_similar_groups_equal_brute_force(spark):
     assert sorted(x.doc_id for x in left.collect() if x.doc_id is not None) == sorted({d for d, _, c in want if d == c})
 
 
+def test_a_row_without_id_does_not_stand_for_its_class(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    near = text.replace("w99", "x99")
+    df = frame(spark, [(None, text), (3, text), (4, near), (None, near), (5, text)]).coalesce(1)
+    assert sorted((x.component_id for x in jaccard.similar_groups(df).collect() if x.doc_id is not None)) == [3, 3, 3]
+    assert sorted(x.doc_id or 0 for x in jaccard.one_of_each_group(df).collect()) == [0, 0, 3]
+
+
 def test_similar_groups_of_nothing(spark):
     assert jaccard.similar_groups(frame(spark, [])).count() == 0
 
