@@ -13,7 +13,7 @@ lower bound as well, discards candidates before the exact count.
 
 Groups: texts with equal sets are one class. In each bucket of a key, members are compared with one centre, what links is
 joined to components, and buckets that still hold several components are compared again with other centres. In the last
-round such buckets are joined with themselves across components, under the second sketch's bound, so only pairs that may
+round, which is left out only where no bucket holds several, such buckets are joined with themselves across components, under the second sketch's bound, so only pairs that may
 be linked come out. A bucket of near copies costs a star per round, and no link between components is lost.
 
 Rules: a null or wordless text has an empty set and no link; fewer words than a shingle has are one shingle; repeated rows
@@ -182,13 +182,16 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = 5, rounds: i
     same = base.where("doc_id is not null and n > 0").select("doc_id", "class").join(first, "class").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     links = stored(same)
     asked = None
-    for turn in range(rounds + 1):
+    turn = 0
+    while turn <= rounds:
         roots = components(links)
         now = buckets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         open_keys = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
         if turn:
             now = now.join(open_keys, "key")
         now = stored(now.select("key", "doc_id", "root"))
+        if turn and now.isEmpty():
+            break
         if turn < rounds:
             pick = F.struct(F.xxhash64("doc_id", F.pmod("key", F.lit(CENTRES)), F.lit(turn)) if turn else F.lit(0).cast("long"), "doc_id", "root")
             centre = now.groupBy("key").agg(F.min(pick).alias("c")).select("key", F.col("c.doc_id").alias("centre"), F.col("c.root").alias("centre_root"))
@@ -205,8 +208,7 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = 5, rounds: i
         asked = pairs if asked is None else asked.union(pairs)
         new = stored(_verified(pairs, rows, info, width, percent))
         links = links.union(new)
-        if turn and pairs.isEmpty():
-            break
+        turn = rounds if 0 < turn < rounds and pairs.isEmpty() else turn + 1  # centres that repeat say nothing of the other pairs
     roots = components(links)
     return (
         base.select("doc_id", F.col("n").alias("n_shingles"))

@@ -331,6 +331,13 @@ def test_a_row_without_id_does_not_stand_for_its_class(spark):
     assert sorted(x.doc_id or 0 for x in jaccard.one_of_each_group(df).collect()) == [0, 0, 3]
 
 
+def test_a_centre_that_repeats_does_not_end_the_search(spark):
+    """All three share one key, 3 and 4 no other; document 1 is the centre in the first two rounds and is linked with neither."""
+    middle = "w867 w821 w782 w64 w261 w120 w507"
+    rows = [(1, f"x667 {middle}"), (3, f"w582 {middle}"), (4, f"w137 w582 {middle}")]
+    assert sorted(tuple(x) for x in jaccard.similar_groups(frame(spark, rows)).collect()) == groups(rows) == [(1, 4, 1), (3, 4, 3), (4, 5, 3)]
+
+
 def test_similar_groups_of_nothing(spark):
     assert jaccard.similar_groups(frame(spark, [])).count() == 0
 
