@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, hnsw, jaccard, licenses, lm, onebit, packing, repeats, sharding, toxicity
+from barloom.llm import bpe, divergence, hnsw, jaccard, licenses, lm, mixing, onebit, packing, repeats, reverse_search, sharding, toxicity
 from barloom.llm.common import read
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(128))
@@ -69,7 +69,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_toxicity, op4_packing, op5_lm_scoring, op6_ngram_jaccard, op7_embedding_dedup, op8_sharding, op9_nearest_vectors, op10_suffix_dedup)}
+def op11_reverse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring documents of every benchmark item."""
+    return reverse_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes of every document, sources weighing 3, 1, 2 in turn."""
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "passes", "part_words")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the term counts of a language's sources stand apart, and the terms that mark each source."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_toxicity, op4_packing, op5_lm_scoring, op6_ngram_jaccard, op7_embedding_dedup, op8_sharding, op9_nearest_vectors, op10_suffix_dedup, op11_reverse_search, op12_source_mix, op13_source_divergence)}
 
 _REACH = """r(id, root) as (select id, id from n union select r.id, k.b from r join (select a, b from l union all select b, a from l) k on k.a = r.root)"""
 
@@ -89,4 +104,42 @@ SQL: dict[str, str] = {
       n as (select vec_id as id from embeddings),
       {_REACH}
       select n.id as vec_id, (select count(*) from l where l.a = n.id or l.b = n.id) as n_links, c.root as component_id, n.id = c.root as kept from n join (select id, min(root) as root from r group by id) c using (id)""",
+    "op11_reverse_search": """with
+      d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+      i as (select item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) as term from benchmark),
+      q as (select item_id, term, count(*) as reps from i group by all),
+      s as (select count(*) as n_docs, sum(len(w)) as n_terms from d where len(w) > 0),
+      o as (select r, any_value(doc_id) as doc_id, any_value(len) as len, term, count(*) as tf from (select r, doc_id, len(w) as len, unnest(w) as term from d) group by r, term),
+      f as (select term, count(*) as df from o where term in (select term from q) group by term),
+      p as (select o.r, o.doc_id, o.term, cast(floor(1000 * ln((2.0::double * n_docs + 2) / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len * n_docs) // n_terms))) as v from o join f using (term), s),
+      t as (select q.item_id, p.r, any_value(p.doc_id) as doc_id, cast(sum(p.v * q.reps) as bigint) as score from p join q using (term) group by q.item_id, p.r),
+      k as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from t where score > 0)
+      select * from k where rank <= 20""",
+    "op12_source_mix": """with
+      d as (select doc_id, source, cast(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as key from documents),
+      z as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+      c as (select *, 2 * source_size as cap, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from z),
+      a as (select sum(source_size) as total, sum(weight) as weights from c),
+      l as (select *, coalesce(sum(cap) over w, 0) as caps, coalesce(sum(weight) over w, 0) as used from c window w as (order by cap::double / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+      v as (select (total * 150 / 100.0::double - caps) / (weights - used) as level from l, a where (total * 150 / 100.0::double - caps) * weight <= cap * (weights - used) order by cap::double / weight, caps limit 1),
+      t as (select source, source_size, least(cap::double, (select level from v) * weight) as target from c),
+      g as (select *, cast(floor(target) as bigint) as budget from t),
+      h as (select *, case when source_size > 0 then budget // source_size else 0 end as passes from g),
+      x as (select d.doc_id, d.size, d.source, h.source_size, h.target, h.passes, h.budget - h.passes * h.source_size - coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as open from d join h on d.source is not distinct from h.source)
+      select doc_id, size, source_size, target, cast(passes * size + greatest(0, least(size, open)) as bigint) as taken, source, passes, cast(greatest(0, least(size, open)) as bigint) as part_words from x""",
+    "op13_source_divergence": """with
+      d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+      o as (select r, lang, source, term, count(*) as n from (select r, lang, source, unnest(w) as term from d) group by all),
+      k as (select lang, term, sum(n) as n from o group by lang, term having count(*) >= 3),
+      s as (select lang, count(*) as v, sum(n) as n from k group by lang),
+      g as (select distinct lang, source from d),
+      c as (select g.lang, g.source, k.term, coalesce(y.n, 0) as n from g join k on k.lang = g.lang left join (select lang, source, term, sum(n) as n from o group by all) y on y.lang = g.lang and y.source = g.source and y.term = k.term),
+      m as (select lang, source, sum(n) as n from c group by all),
+      p as (select c.lang, c.source, c.term, c.n, cast(1 + (1000000000 * (c.n + 1)::hugeint) // (m.n + s.v) as hugeint) as p from c join m on m.lang = c.lang and m.source = c.source join s on s.lang = c.lang),
+      b as (select k.lang, k.term, cast(1 + (1000000000 * (k.n + 1)::hugeint) // (s.n + s.v) as hugeint) as q from k join s on s.lang = k.lang),
+      x as (select x.lang, x.source, 'pair' as part, y.source as item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all
+        union all select x.lang, x.source, 'pair', y.source, 0 from g x join g y on x.lang = y.lang and x.source <> y.source where x.lang not in (select lang from k)
+        union all select p.lang, p.source, 'term', p.term, (p.p - b.q) * (p.p - b.q) // b.q from p join b on b.lang = p.lang and b.term = p.term where p.n > 0 and p.p > b.q),
+      y as (select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from x)
+      select * from y where part = 'pair' or rank <= 200""",
 }

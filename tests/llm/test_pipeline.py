@@ -60,4 +60,4 @@ def test_stages_keep_the_columns(spark, tmp_path):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
