@@ -144,54 +144,59 @@ def account_totals(ledger: DataFrame, prices: DataFrame, order: Sequence[str], b
     )
 
 
-def mark_accounts(ledger: DataFrame, prices: DataFrame, dates: DataFrame, order: Sequence[str], by: Sequence[str] = HOLDING) -> DataFrame:
-    """Snapshot of every account at every date from its first trade on: cash, market value, flows, totals.
-
-    ``dates``: one column ``snapshot_date`` (all sessions, or period ends). Daily
-    states are as-of joined to the dates; prices are as-of joined per symbol.
-    Buys are paid by contributions, sale proceeds stay in the account as cash.
-    """
-    account = by[0]
+def holding_steps(ledger: DataFrame, order: Sequence[str], by: Sequence[str] = HOLDING) -> DataFrame:
+    """One row per holding and trade day: the holding after it and what the day changed (``d_`` columns)."""
     daily = ledger.groupBy(*by, "trade_date").agg(
         F.max_by(F.struct("holding", "total_cost"), F.struct(*order)).alias("_l"),
-        F.sum("realized_pnl").alias("_real"), F.sum("fee").alias("_fee"),
-        F.sum(F.when(F.col("side") == "BUY", -F.col("cash_change")).otherwise(0.0)).alias("_in"),
-        F.sum(F.when(F.col("side") == "SELL", F.col("cash_change")).otherwise(0.0)).alias("_cash"),
-    )
-    w = Window.partitionBy(*by).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    state = daily.select(
-        *by, "trade_date", F.col("_l.holding").alias("holding"), F.col("_l.total_cost").alias("total_cost"),
-        *[F.sum(f"_{c}").over(w).alias(c) for c in ("real", "fee", "in", "cash")],
+        F.sum("realized_pnl").alias("d_realized_pnl"), F.sum("fee").alias("d_fees_paid"),
+        F.sum(F.when(F.col("side") == "BUY", -F.col("cash_change")).otherwise(0.0)).alias("d_total_contribution"),
+        F.sum(F.when(F.col("side") == "SELL", F.col("cash_change")).otherwise(0.0)).alias("d_cash_balance"),
     )
-    # The state is read several times below; its ledger must not be replayed each time.
-    state = cut_lineage(state)
-    months = dates.select("snapshot_date", F.trunc("snapshot_date", "month").alias("_month"))
-    span = state.groupBy(*by).agg(F.min("trade_date").alias("_first")).withColumn("_last", dates.select(F.max("snapshot_date")).scalar())
-    axis = (
-        span.where("_first <= _last")
-        .select(*by, "_first", F.explode(F.sequence(F.trunc("_first", "month"), F.trunc("_last", "month"), F.expr("interval 1 month"))).alias("_month"))
-        .join(months, "_month").where("snapshot_date >= _first").select(*by, "snapshot_date")
-    )
-    rows = asof_join(axis, state, by, "snapshot_date", "trade_date", ["holding", "total_cost", "real", "fee", "in", "cash"]).drop("matched_trade_date")
-    price = asof_join(axis.select("symbol", "snapshot_date").distinct(), prices.select("symbol", F.col("trade_date").alias("price_date"), "close"), ["symbol"], "snapshot_date", "price_date", ["close"])
-    rows = rows.join(price.select("symbol", "snapshot_date", "close"), ["symbol", "snapshot_date"], "left")
-    snap = rows.groupBy(account, "snapshot_date").agg(
-        F.sum("cash").alias("cash_balance"), F.sum(F.col("holding") * F.coalesce("close", F.lit(0.0))).alias("market_value"),
-        F.sum("in").alias("total_contribution"), F.sum("real").alias("realized_pnl"), F.sum("total_cost").alias("total_cost"),
-        F.sum("holding").alias("holding"), F.sum("fee").alias("fees_paid"),
-    )
-    o = ordered([account], "snapshot_date")
-    return snap.withColumns(
-        {
-            "total_assets": F.col("cash_balance") + F.col("market_value"),
-            "unrealized_pnl": F.col("market_value") - F.col("total_cost"),
-            "external_cash_flow": F.col("total_contribution") - F.coalesce(F.lag("total_contribution").over(o), F.lit(0.0)),
-        }
+    o = ordered(by, "trade_date")
+    return daily.select(
+        *by, "trade_date", F.col("_l.holding").alias("holding"),
+        *[(F.col(f"_l.{c}") - F.coalesce(F.lag(f"_l.{c}").over(o), F.lit(0.0))).alias(f"d_{c}") for c in ("holding", "total_cost")],
+        *[f"d_{c}" for c in ("realized_pnl", "fees_paid", "total_contribution", "cash_balance")],
     )
 
 
+def mark_accounts(ledger: DataFrame, prices: DataFrame, order: Sequence[str], by: Sequence[str] = HOLDING) -> DataFrame:
+    """Snapshot of every account on each of its days: cash, market value, flows, totals.
+
+    An account's days are its trade days and, from its first trade on, the sessions of every symbol it ever trades. The
+    value of a holding changes by holding * price change at a session and by holding change * last price at a trade, so
+    only changes are formed: each run of an unchanged holding meets the sessions it spans, month by month, in an
+    equi-join, the changes are summed per account and day, and running sums give the states. No state is looked up per
+    day and prices carry over by themselves where a symbol has no session. Buys are paid by contributions, sale proceeds
+    stay in the account as cash; a holding without a price so far is worth nothing.
+    """
+    account = by[0]
+    # Read three times below; its ledger must not be replayed each time.
+    steps = cut_lineage(holding_steps(ledger, order, by))
+    o = ordered(by, "trade_date")
+    px = ordered(["symbol"], "session")
+    sessions = prices.select("symbol", F.col("trade_date").alias("session"), "close")
+    moves = sessions.select("symbol", "session", F.trunc("session", "month").alias("_month"), (F.col("close") - F.coalesce(F.lag("close").over(px), F.lit(0.0))).alias("_move"))
+    final = prices.select(F.max("trade_date")).scalar()
+    opened = steps.groupBy(account).agg(F.min("trade_date").alias("_open"))
+    before = steps.groupBy(*by).agg(F.min("trade_date").alias("_end")).join(opened, account).where("_open < _end").select(*by, F.col("_open").alias("_start"), "_end", F.lit(0.0).alias("holding"))
+    runs = steps.select(*by, F.col("trade_date").alias("_start"), F.coalesce(F.lead("trade_date").over(o), final).alias("_end"), "holding").unionByName(before)
+    months = runs.where("_start < _end").withColumn("_month", F.explode(F.sequence(F.trunc("_start", "month"), F.trunc("_end", "month"), F.expr("interval 1 month"))))
+    held = months.join(moves, ["symbol", "_month"]).where("session > _start and session <= _end")
+    marked = held.select(account, F.col("session").alias("snapshot_date"), (F.col("holding") * F.col("_move")).alias("d_market_value"))
+    traded = asof_join(steps, sessions, ["symbol"], "trade_date", "session", ["close"])
+    traded = traded.select(account, F.col("trade_date").alias("snapshot_date"), (F.col("d_holding") * F.coalesce("close", F.lit(0.0))).alias("d_market_value"), *[c for c in steps.columns if c.startswith("d_")])
+    changes = marked.unionByName(traded, allowMissingColumns=True)
+    names = [c.removeprefix("d_") for c in traded.columns if c.startswith("d_")]
+    days = changes.groupBy(account, "snapshot_date").agg(*[F.coalesce(F.sum(f"d_{c}"), F.lit(0.0)).alias(f"d_{c}") for c in names])
+    upto = ordered([account], "snapshot_date").rowsBetween(Window.unboundedPreceding, 0)
+    snap = days.select(account, "snapshot_date", F.col("d_total_contribution").alias("external_cash_flow"), *[F.sum(f"d_{c}").over(upto).alias(c) for c in names])
+    snap = snap.withColumn("market_value", F.when(F.col("holding") == 0, 0.0).otherwise(F.col("market_value")))
+    return snap.withColumns({"total_assets": F.col("cash_balance") + F.col("market_value"), "unrealized_pnl": F.col("market_value") - F.col("total_cost")})
+
+
 def account_returns(snapshots: DataFrame, by: Sequence[str] = ("account_id",), t: str = "snapshot_date", min_days: int = 30) -> DataFrame:
-    """Period, cumulative, chained time-weighted and annualised return, and the worst drawdown so far."""
+    """Daily (against the account's previous snapshot), cumulative, chained time-weighted and annualised return, and the worst drawdown so far."""
     o = ordered(by, t)
     upto = o.rowsBetween(Window.unboundedPreceding, 0)
     prior = F.lag("total_assets").over(o)

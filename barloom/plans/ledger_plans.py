@@ -155,56 +155,87 @@ def _(spark, sf):
     return t.select("account_id", "holding", *[cut(c, 3).alias(c) for c in ("market_value", "total_cost", "realized_pnl", "unrealized_pnl")], cut("fees", 4).alias("fees"))
 
 
-def _month_ends(spark, sf):
-    cal = V.calendar(spark, sf)
-    return cal.groupBy(F.trunc("session_date", "month").alias("m")).agg(F.max("session_date").alias("snapshot_date")).select("snapshot_date")
-
-
 SNAP = {
-    "me": "select max(session_date) as sd from cal group by date_trunc('month', session_date)",
-    "ax": "select f.account_id, f.symbol, me.sd from (select account_id, symbol, min(trade_date) as f from tr group by all) f join me on me.sd >= f.f",
+    "fd": "select account_id, min(trade_date) as f from tr group by account_id",
+    "own": "select distinct account_id, symbol from tr",
+    "ax": """select a.account_id, o.symbol, a.sd from (select account_id, trade_date as sd from tr union
+      select own.account_id, px.trade_date from own join fd on fd.account_id = own.account_id join px on px.symbol = own.symbol and px.trade_date >= fd.f) a join own o on o.account_id = a.account_id""",
     "st": """select account_id, symbol, trade_date, arg_max(h, k) as h, arg_max(c, k) as c, arg_max(cr, k) as real, arg_max(ci, k) as inn, arg_max(cc, k) as cash from (
       select *, sum(real) over o as cr, sum(case when side = 'BUY' then -cash else 0 end) over o as ci, sum(case when side = 'SELL' then cash else 0 end) over o as cc from lg window o as (partition by account_id, symbol order by k)) group by all""",
-    "sn": """select account_id, sd, sum(cash) as cash, sum(h * coalesce(close, 0)) as mv, sum(inn) as inn, sum(real) as real, sum(h) as h from (
-      select ax.account_id, ax.symbol, ax.sd, st.cash, st.h, st.inn, st.real from ax asof join st on st.account_id = ax.account_id and st.symbol = ax.symbol and ax.sd >= st.trade_date) x
+    "sn": """select account_id, sd, coalesce(sum(cash), 0) as cash, coalesce(sum(h * coalesce(close, 0)), 0) as mv, coalesce(sum(inn), 0) as inn, coalesce(sum(real), 0) as real, coalesce(sum(h), 0) as h, coalesce(sum(c), 0) as c from (
+      select ax.account_id, ax.symbol, ax.sd, st.cash, st.h, st.inn, st.real, st.c from ax asof left join st on st.account_id = ax.account_id and st.symbol = ax.symbol and ax.sd >= st.trade_date) x
       asof left join px on px.symbol = x.symbol and x.sd >= px.trade_date group by account_id, sd""",
+    "rt": """select *, product(case when pr > 0 then (ta - fl) / pr else 1 end) over u - 1 as twr, min(least(0, case when pk > 0 then ta / pk - 1 end)) over u as md, count(*) filter (pr > 0) over u as n, case when pr > 0 then (ta - fl) / pr - 1 end as pret from (
+      select account_id, sd, inn, cash + mv as ta, lag(cash + mv) over o as pr, inn - coalesce(lag(inn) over o, 0) as fl, max(cash + mv) over o as pk, min(sd) over o as f from sn where true window o as (partition by account_id order by sd))
+      where inn > 0 window u as (partition by account_id order by sd)""",
 }
 
 
 def _snapshots(spark, sf):
-    return LG.mark_accounts(_ledger(spark, sf), _prices(spark, sf), _month_ends(spark, sf), ORDER)
+    return LG.mark_accounts(_ledger(spark, sf), _prices(spark, sf), ORDER)
+
+
+def _by_month(snapshots, **values):
+    """Every account's days of a month in one row, so that the marks of all days are compared."""
+    return snapshots.groupBy("account_id", F.trunc("snapshot_date", "month").alias("month")).agg(F.count("*").alias("days"), F.max("snapshot_date").alias("snapshot_date"), *[v.alias(n) for n, v in values.items()])
+
+
+def _last(c):
+    return F.max_by(c, "snapshot_date")
+
+
+_MONTH = f"account_id, {day("date_trunc('month', sd)::date")} as month, count(*) as days, {day('max(sd)')} as snapshot_date"
 
 
 @REG.add(
     "account_snapshots",
-    "S-17 J-08 A-18",
-    with_views(f"select account_id, {day('sd')} as snapshot_date, {r('cash', 2)} as cash_balance, {r('mv', 2)} as market_value, {r('inn', 2)} as total_contribution, {r('real', 2)} as realized_pnl, {r('h')} as holding from sn", **LG_SQL, **PX, **SNAP),
+    "S-17 J-08 A-18 U-01",
+    with_views(
+        f"""select {_MONTH}, {r('avg(mv)', 1)} as market_value, {r('arg_max(cash, sd)', 2)} as cash_balance, {r('arg_max(inn, sd)', 2)} as total_contribution, {r('arg_max(real, sd)', 2)} as realized_pnl, {r('avg(mv - c)', 1)} as unrealized_pnl,
+          {r('min(cash + mv)', 1)} as least_assets, {r('max(cash + mv)', 1)} as most_assets, {r('arg_max(cash + mv, sd)', 1)} as last_assets, sum(h) as holding_days from sn group by account_id, date_trunc('month', sd)""",
+        **LG_SQL, **PX, **SNAP,
+    ),
 )
 def _(spark, sf):
     from barloom.functions.scalar import cut
 
-    s = _snapshots(spark, sf)
-    return s.select("account_id", "snapshot_date", *[cut(c, 2).alias(c) for c in ("cash_balance", "market_value", "total_contribution", "realized_pnl")], "holding")
+    means = {c: cut(F.avg(c), 1) for c in ("market_value", "unrealized_pnl")} | {c: cut(_last(c), 2) for c in ("cash_balance", "total_contribution", "realized_pnl")}
+    ends = {f"{n}_assets": cut(f("total_assets"), 1) for n, f in (("least", F.min), ("most", F.max), ("last", _last))}
+    return _by_month(_snapshots(spark, sf), **means, **ends, holding_days=F.sum("holding"))
 
 
 @REG.add(
     "account_returns",
     "S-18",
     with_views(
-        f"""select account_id, {day('sd')} as snapshot_date, {r('ta / inn - 1')} as cumulative_return, {r('case when pr > 0 then (ta - fl) / pr - 1 end')} as period_return,
-          {r('least(0, min(case when pk > 0 then ta / pk - 1 end) over (partition by account_id order by sd))')} as max_drawdown
-        from (select account_id, sd, inn, cash + mv as ta, lag(cash + mv) over o as pr, inn - coalesce(lag(inn) over o, 0) as fl, max(cash + mv) over o as pk from sn where true window o as (partition by account_id order by sd)) where inn > 0""",
+        f"""select {_MONTH}, {r('arg_max(ta / inn - 1, sd)')} as cumulative_return, {r('min(pret)')} as worst_day, {r('max(pret)')} as best_day, {r('avg(pret)')} as mean_day, {r('arg_max(md, sd)')} as max_drawdown
+        from rt group by account_id, date_trunc('month', sd)""",
         **LG_SQL, **PX, **SNAP,
     ),
 )
 def _(spark, sf):
     s = LG.account_returns(_snapshots(spark, sf)).where("total_contribution > 0")
-    return s.select("account_id", "snapshot_date", "cumulative_return", "period_return", "max_drawdown")
+    days = {"worst_day": F.min("period_return"), "best_day": F.max("period_return"), "mean_day": F.avg("period_return")}
+    return _by_month(s, cumulative_return=_last("cumulative_return"), max_drawdown=_last("max_drawdown"), **days)
 
 
-@REG.add("time_weighted_returns", "S-18")
+@REG.add(
+    "time_weighted_returns",
+    "S-18",
+    with_views(
+        f"""select {_MONTH}, {r('arg_max_null(case when n > 0 and twr > -1 then ln(1 + twr) end, sd)', 4)} as log_growth, {r('arg_max_null(case when n > 0 and sd - f >= 30 and twr > -1 then least(exp(ln(case when twr > -1 then 1 + twr end) * 365 / greatest(sd - f, 1)) - 1, 1000) end, sd)', 4)} as annualized_return,
+          arg_max_null(case when n > 0 then (twr <= -1)::int::bigint end, sd) as wiped_out
+        from rt group by account_id, date_trunc('month', sd)""",
+        **LG_SQL, **PX, **SNAP,
+    ),
+)
 def _(spark, sf):
-    return LG.account_returns(_snapshots(spark, sf)).select("account_id", "snapshot_date", "time_weighted_return", "annualized_return")
+    from barloom.functions.scalar import cut
+
+    s = LG.account_returns(_snapshots(spark, sf)).where("total_contribution > 0")
+    growth, annual = F.col("time_weighted_return") + 1, F.col("annualized_return")
+    values = {"log_growth": F.log(F.when(growth > 0, growth)), "annualized_return": F.when(annual.isNotNull(), F.least(annual, F.lit(1000.0)))}
+    return _by_month(s, **{n: cut(_last(v), 4) for n, v in values.items()}, wiped_out=_last((F.col("time_weighted_return") <= -1).cast("int")))
 
 
 @REG.add(

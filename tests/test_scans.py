@@ -153,3 +153,37 @@ def test_order_sizes_fit_and_are_maximal(spark):
         assert r.q == 0 or r.q * r.p + fee(r.q * r.p) <= r.a + 1e-9
         g = (r.q + 100) * r.p
         assert g + fee(g) > r.a - 1e-9
+
+
+def test_account_marks_equal_a_daily_loop(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        rows.append((rng.choice("ab"), rng.choice("xyz"), day(rng.randint(3, 200)), i, "BUY" if rng.random() < 0.6 else "SELL", float(rng.randint(1, 40)), 5 + rng.random() * 5, 1.0))
+    closes = {(s, d): 5 + rng.random() * 5 for s, first in (("x", 0), ("y", 40), ("z", 190)) for d in range(first, 260) if rng.random() < 0.6}
+    trades = spark.createDataFrame(rows, "account_id string, symbol string, trade_date date, k long, side string, quantity double, price double, fee double")
+    prices = spark.createDataFrame([(s, day(d), c) for (s, d), c in closes.items()], "symbol string, trade_date date, close double")
+    order = ["trade_date", "k"]
+    got = {(r.account_id, r.snapshot_date): r for r in LG.mark_accounts(LG.ledger_fold(trades, order, F.trunc("trade_date", "month")), prices, order).collect()}
+    want = {}
+    for account in "ab":
+        own = sorted((r for r in rows if r[0] == account), key=lambda r: (r[2], r[3]))
+        symbols, first = {r[1] for r in own}, own[0][2]
+        days = {r[2] for r in own} | {day(d) for s, d in closes if s in symbols and day(d) >= first}
+        h, c, cash, paid = {s: 0.0 for s in symbols}, {s: 0.0 for s in symbols}, 0.0, 0.0
+        for d in sorted(days):
+            flow = 0.0
+            for _, s, _, _, side, q, price, fee in (r for r in own if r[2] == d):
+                if side == "BUY":
+                    h[s], c[s], flow = h[s] + q, c[s] + q * price + fee, flow + q * price + fee
+                elif h[s] > 0:
+                    sold = min(q, h[s])
+                    c[s] -= c[s] / h[s] * sold
+                    h[s], cash = h[s] - sold, cash + sold * price - fee
+            paid += flow
+            last = {s: max(((e, closes[s, e]) for (z, e) in closes if z == s and day(e) <= d), default=(0, 0.0))[1] for s in symbols}
+            want[account, d] = (cash, sum(h[s] * last[s] for s in symbols), paid, flow, sum(c.values()), sum(h.values()))
+    assert got.keys() == want.keys()
+    for key, w in want.items():
+        r = got[key]
+        assert np.allclose((r.cash_balance, r.market_value, r.total_contribution, r.external_cash_flow, r.total_cost, r.holding), w, atol=1e-6), key
