@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barloom.llm.common import documents, tasks
+from barloom.llm.common import documents, slices, stored, tasks
 
 #: Characters at a chunk's end whose boundaries depend on what follows it: contractions reach 3 characters on.
 MARGIN = 4
@@ -50,7 +50,7 @@ def _with_ids(df: DataFrame, path: str, pattern: str, keys: str) -> DataFrame:
     """Replaces ``text`` by ``ids``; ``keys``: DDL of the columns that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], _ids(batch.column(at).to_pylist(), path, pattern)], names=[*[n for n in batch.schema.names if n != "text"], "ids"])
 
@@ -62,7 +62,7 @@ def _boundaries(chunks: DataFrame, pattern: str, stride: int, overlap: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _pattern(pattern).finditer
-        for batch in batches:
+        for batch in slices(batches, "chunk"):
             heads, tails = [], []
             for text in batch.column("chunk").to_pylist():
                 ends = [e for e in (m.end() for m in find(text)) if text[e - 1] != " " and text[e - 1].isprintable()]
@@ -106,7 +106,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768, overla
         raise ValueError("an overlap must be shorter than half a chunk")
     rows = documents(docs)
     short = _with_ids(rows.where(F.length("text") <= chunk), path, pattern, "doc_id long")
-    long = rows.where(F.length("text") > chunk).select("doc_id", F.sha2("text", 256).alias("t"), F.coalesce("doc_id", F.lit(-1 << 63)).alias("d"), "text")
+    long = stored(rows.where(F.length("text") > chunk).select("doc_id", F.sha2("text", 256).alias("t"), F.coalesce("doc_id", F.lit(-1 << 63)).alias("d"), "text"))  # few rows, read several times
     one = long.groupBy("t").agg(F.min("d").alias("d"))
     pieces = stitched_pieces(long.join(one, ["t", "d"], "left_semi").select("t", "text"), pattern, chunk, overlap)
 
@@ -125,7 +125,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         import numpy as np
 
         encoder = _encoder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             out = [encoder.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "bytes"])
 

@@ -30,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.common import components, documents, stored
+from barloom.llm.common import components, documents, slices, stored
 from barloom.llm.shingles import mix, shingles
 
 #: Cells in which shingles are counted for the words' order, bits of the second sketch, classes remembered by a task,
 #: different centres that buckets of the same members get in a round.
-CELLS, BITS, REMEMBER, CENTRES = 1 << 16, 1024, 50_000, 4
+CELLS, BITS, REMEMBER, CENTRES = 1 << 16, 1024, 20_000, 4
 
 
 def allowed(total: int, percent: int) -> int:
@@ -95,7 +95,7 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
 
     def count(batches):
         cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for h in shingles(batch.column("text").to_pylist(), width):
                 cells += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=CELLS) if len(h) > CELLS // 8 else 0
                 if len(h) <= CELLS // 8:
@@ -115,7 +115,7 @@ def _profiles(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches):
         seen: dict[bytes, None] = {}
-        for batch in batches:
+        for batch in slices(batches):
             n, ids, bits, key = [], [], [], []
             known = batch.column("doc_id").is_valid().to_pylist()  # rows without a doc_id get no keys, so they do not stand for a class
             for h, has_id in zip(shingles(batch.column("text").to_pylist(), width), known, strict=True):
@@ -143,7 +143,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, info: DataFrame, width: int, pe
     near = stored(known.where(F.col("class_a") != F.col("class_b")).where(possible(percent)).select("a", "b"))
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             u = [np.unique(h).tobytes() for h in shingles(batch.column("text").to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(u, pa.binary())], names=["doc_id", "elements"])
 
@@ -152,7 +152,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, info: DataFrame, width: int, pe
     both = near.join(elements.selectExpr("doc_id a", "elements x"), "a").join(elements.selectExpr("doc_id b", "elements y"), "b")
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches, "x", 4 << 20):
             on = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

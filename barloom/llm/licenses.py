@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import documents
+from barloom.llm.common import documents, slices
 
 # Public notices, as their owners word them.
 TEMPLATES = {
@@ -180,7 +180,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float
 
     def run(batches):
         scanner = _scanner(given, cover, level)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for x in scanner.scan(text)]
             columns = list(zip(*rows, strict=True)) or [()] * 9
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.string()))

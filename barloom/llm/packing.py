@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm import bpe
-from barloom.llm.common import documents, stored, tasks
+from barloom.llm.common import documents, slices, stored, tasks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -43,7 +43,7 @@ def cut(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], end:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe._encoder(ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(token_ids(text, encoder, special), end).astype("<u4")

@@ -26,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.common import documents, stored
+from barloom.llm.common import documents, slices, stored
 
 WORD = re.compile(r"\w+")
 BEGINNINGS = (3, 4, 5)
 
 
 DENSE = ((128, "^"), (64, "^^"))
+#: Bounds of what a worker remembers: words with their terms, bytes of vectors that it has scored.
+MEMO_WORDS, TOLD_BYTES = 50_000, 2 << 20
 
 
 def terms(word: str) -> list[str]:
@@ -75,12 +77,13 @@ class Examples:
     def __post_init__(self) -> None:
         self.weights = np.array([w for _, w in sorted(self.vocabulary.values())])
         self.memo: dict[str, tuple[str, ...]] = {}
-        self.told: dict[tuple, tuple[float, list[int]]] = {}
+        self.told: dict[bytes, tuple[float, list[int]]] = {}
+        self.held = 0
         self.bases = {t.rstrip("^") for t in self.vocabulary}
 
     def count(self, text: str) -> dict[int, int]:
         words, memo = Counter(WORD.findall(text.lower())), self.memo
-        if len(memo) > 200_000:
+        if len(memo) > MEMO_WORDS:
             memo.clear()
         for word in words:
             if word not in memo:
@@ -115,11 +118,14 @@ class Examples:
         counts = self.count(text)
         if not counts or not len(self.ids):
             return self.bare, []
-        key = tuple(sorted(counts.items()))
+        at, n = np.array(sorted(counts.items()), np.int64).T
+        key = np.stack([at, n]).astype("<u4").tobytes()
         if key not in self.told:
-            if len(self.told) > 50_000:
+            self.held += len(key)
+            if self.held > TOLD_BYTES:
                 self.told.clear()
-            at, n = np.array([i for i, _ in key], np.int64), np.array([x for _, x in key], float)
+                self.held = len(key)
+            n = n.astype(float)
             top, cosine = self.nearest(at, self.vector(at, n), k)
             vote = cosine**4
             self.told[key] = float((vote @ self.positive[top] + pull * self.rate) / (vote @ self.total[top] + pull)), self.ids[top[:3]].tolist()
@@ -164,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_terms: int = 4096, most_example
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array([x[0] for x in counted.values()], pa.int64()), pa.array([x[1] for x in counted.values()], pa.int64())], names=["term", "negative", "positive"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 for term in term_counts(Counter(WORD.findall(text.lower()))):
                     counted.setdefault(term, [0, 0])[label] += 1
@@ -189,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_terms: int = 4096, most_example
     shape = build([], vocabulary, rate)
 
     def vectors(batches):
-        for batch in batches:
+        for batch in slices(batches):
             counts = [sorted(shape.count(t).items()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([[i for i, _ in c] for c in counts], pa.list_(pa.int32())), pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))], names=["doc_id", "toxic", "at", "n"])
 
@@ -208,7 +214,7 @@ def score(docs: DataFrame, examples: Examples, k: int = 15, pull: float = 0.25,
     """(doc_id, score, predicted, evidence): evidence holds up to three of the nearest examples."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [examples.score(t, k, pull) for t in batch.column("text").to_pylist()]
             p = [x for x, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["doc_id", "score", "predicted", "evidence"])
@@ -220,7 +226,7 @@ def clean_only(docs: DataFrame, examples: Examples, k: int = 15, pull: float = 0
     """The rows of docs, all columns as they are, whose text scores below the threshold."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([examples.score(t or "", k, pull)[0] < threshold for t in texts], pa.bool_()))
 

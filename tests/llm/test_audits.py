@@ -183,3 +183,15 @@ def test_trees_share_nodes_and_price_each_pair_once():
     assert sorted(zip(x.tolist(), y.tolist(), times.tolist())) == [(0, 0, 3), (0, 2, 1), (0, 9, 1), (1, 1, 1), (5, 5, 1)]
     big = np.array([10**12, 3, 0])
     assert divergence.shares(big, 10**12 + 4).tolist() == [1 + 10**9 * (c + 1) // (10**12 + 4) for c in big.tolist()]
+
+
+def test_slices_bound_the_bytes_of_a_piece():
+    import pyarrow as pa
+
+    from barloom.llm.common import slices
+
+    texts = [None, "", "x" * 10, "y" * 500, "é" * 3, "z" * 30, None, "w" * 40]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "text": texts})
+    pieces = [p.to_pydict() for p in slices([batch, batch.slice(2, 4), batch.slice(0, 0)], limit=64)]
+    assert [t for p in pieces for t in p["text"]] == texts + texts[2:6]
+    assert all(len(p["text"]) == 1 or sum(len((t or "").encode()) for t in p["text"]) <= 64 for p in pieces)
