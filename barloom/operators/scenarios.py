@@ -199,60 +199,7 @@ def block_bootstrap(diffs: DataFrame, block: int, draws: int, seed: int, by: Seq
     return means.groupBy(*by).agg(F.expr("percentile(mean, 0.05)").alias("low"), F.expr("percentile(mean, 0.95)").alias("high"), F.avg("mean").alias("centre"), F.count("*").alias("draws"))
 
 
-# ---- analogues --------------------------------------------------------------------------------
-
-def similar_windows(df: DataFrame, window: int, horizon: int, k: int, by: Sequence[str] = ("symbol",), t: str = "trade_date", c: str = "close") -> DataFrame:
-    """Past windows most similar in shape to the latest one, with the outcome after each.
-
-    Shapes are prices over their first value; the distance is the RMSE. Only the
-    latest window of a key is a target, so work is linear in the rows. Candidates
-    end before the latest window starts and have a known outcome.
-    """
-    w = ordered(by, t)
-    f = w.rowsBetween(-(window - 1), 0)
-    work = df.withColumns(
-        {
-            "_o": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*by)), "_win": F.collect_list(F.col(c)).over(f),
-            "_ahead": F.collect_list(F.col(c)).over(w.rowsBetween(1, horizon)),
-        }
-    ).where(F.size("_win") == window)
-    shape = F.transform("_win", lambda v: v / F.element_at("_win", 1))
-    work = work.withColumn("_shape", shape)
-    target = work.where(F.col("_o") == F.col("_n")).select(*by, F.col("_shape").alias("_target"), F.col(c).alias("base"))
-    cand = work.where((F.col("_o") <= F.col("_n") - window - horizon) & (F.size("_ahead") == horizon)).join(target, list(by))
-    dist = F.sqrt(A.total(F.zip_with("_shape", "_target", lambda a, b: (a - b) * (a - b))) / window)
-    cand = cand.withColumn("distance", F.round(dist, 12)).withColumn("outcome", F.transform("_ahead", lambda v: v / F.col(c)))
-    return top_k(cand, by, [F.col("distance"), F.col("_o")], k).select(*by, F.col(t).alias("end_date"), "distance", "rank", "base", "outcome")
-
-
-def similarity_forecast(matches: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Mean price path of the matches with a band of one population deviation."""
-    long = matches.select(*by, "base", F.posexplode("outcome").alias("_p", "ratio"))
-    g = long.groupBy(*by, (F.col("_p") + 1).alias("step")).agg(F.max("base").alias("base"), F.avg("ratio").alias("_m"), F.stddev_pop("ratio").alias("_s"))
-    return g.select(
-        *by, "step", (F.col("base") * F.col("_m")).alias("predicted"),
-        (F.col("base") * F.greatest(F.col("_m") - F.col("_s"), F.lit(0.0))).alias("lower"), (F.col("base") * (F.col("_m") + F.col("_s"))).alias("upper"),
-    )
-
-
-def analogue_forecast(history: DataFrame, targets: DataFrame, weights: dict[str, float], k: int, by: Sequence[str] = ("symbol",), horizon: int = 13) -> DataFrame:
-    """Nearest matured rows to one target row per key by weighted L1 distance, and the spread of their paths.
-
-    history: by, ordinal, features, path. targets: by, ordinal, features (one row per key).
-    """
-    t = targets.select(*by, F.col("ordinal").alias("_to"), *[F.col(c).alias(f"_t_{c}") for c in weights])
-    j = history.join(t, list(by)).where((F.col("ordinal") + horizon <= F.col("_to")) & F.col("path").isNotNull())
-    dist = F.lit(0.0)
-    for c, w in weights.items():
-        dist = dist + w * F.abs(F.col(c) - F.col(f"_t_{c}"))
-    near = top_k(j.withColumn("distance", F.round(dist, 12)), by, [F.col("distance"), F.col("ordinal")], k)
-    long = near.select(*by, F.posexplode("path").alias("_p", "ret"))
-    g = long.groupBy(*by, (F.col("_p") + 1).alias("step")).agg(
-        F.expr("percentile(ret, array(0.1, 0.5, 0.9))").alias("_q"), F.avg("ret").alias("expected"), F.avg((F.col("ret") > 0.05).cast("double")).alias("p_up"),
-        F.avg((F.col("ret") < -0.05).cast("double")).alias("p_down"), F.count("*").alias("analogues"),
-    )
-    return g.select(*by, "step", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90"))], "expected", "p_up", "p_down", "analogues")
-
+# ---- analogue quantiles and corrections -----------------------------------------------------------
 
 def analogue_quantiles(base: DataFrame, residuals: DataFrame, by: Sequence[str] = ("symbol",), cap: float = 0.25, minimum: int = 8, scale: float = 320.0) -> DataFrame:
     """Expected path plus residual quantiles, partly replaced by those of the nearest analogues.

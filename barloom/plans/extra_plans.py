@@ -257,15 +257,6 @@ REG.sql["calibrator_table"] = with_views(
 )
 
 
-REG.sql["similarity_forecasts"] = with_views(
-    f"""select m.symbol, b.rn - m.o as step, {r('any_value(m.base) * avg(b.close / m.c0)')} as predicted, {r('any_value(m.base) * greatest(avg(b.close / m.c0) - stddev_pop(b.close / m.c0), 0)')} as lower, {r('any_value(m.base) * (avg(b.close / m.c0) + stddev_pop(b.close / m.c0))')} as upper
-    from mt m join dn b on b.symbol = m.symbol and b.rn between m.o + 1 and m.o + 65 group by m.symbol, b.rn - m.o""",
-    mt="""select * from (select *, row_number() over (partition by symbol order by round(d, 12), o) as rk from (
-      select a.symbol, e.rn as o, any_value(e.close) as c0, max(t.close) filter (t.rn = e.n) as base, sqrt(sum(pow(a.close / s.close - t.close / t0.close, 2)) / 60) as d from (select *, max(rn) over (partition by symbol) as n from dn) e
-      join dn a on a.symbol = e.symbol and a.rn between e.rn - 59 and e.rn join dn s on s.symbol = e.symbol and s.rn = e.rn - 59 join dn t on t.symbol = e.symbol and t.rn = e.n - e.rn + a.rn join dn t0 on t0.symbol = e.symbol and t0.rn = e.n - 59
-      where e.rn >= 60 and e.rn <= e.n - 60 - 65 group by a.symbol, e.rn)) where rk <= 5""",
-)
-
 REG.sql["stratified_fan"] = with_views(
     f"""select f.symbol, f.rn as anchor, f.st as stratum, count(*) as draws, {r('avg(exp(ln(1 + p.ret) + q.res * 0.1) - 1)')} as mean_terminal from (
       select d.symbol, d.rn, i, n.st, ('0x' || md5('{SEED}:' || d.symbol || ':' || d.rn || ':' || i)[1:8])::bigint % n.n as idx from (select distinct symbol, rn from lp) d, range(0, {NS}) g(i), (select symbol, st, max(j) + 1 as n from ps2 group by all) n

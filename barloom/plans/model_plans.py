@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import cut
-from barloom.operators import bars as B, calibrate as C, features as FE, gates as G, indicators as I, labels as L, ledger as LG, models as M, panel as P, pit, scenarios as SC, turns as TU
+from barloom.operators import analogues as AN, bars as B, calibrate as C, features as FE, gates as G, indicators as I, labels as L, ledger as LG, models as M, panel as P, pit, scenarios as SC, turns as TU
 from barloom.plans import views as V
 from barloom.plans.feature_plans import AHEAD, BACK, EVERY, _WIN
 from barloom.plans.label_plans import LP, _CLASS, _HALF, _WIS, scored
@@ -622,30 +622,42 @@ def _(spark, sf):
 
 # ---- analogues and corrections --------------------------------------------------------------
 
+_SW = {
+    "win": "select symbol, trade_date, rn, close, list_transform(l, lambda x: x / l[1]) as shape from (select *, list(close) over (partition by symbol order by rn rows between 59 preceding and current row) as l from dn) where rn >= 60",
+    "sw": """select *, row_number() over (partition by symbol, target order by d, rn) as rk from (
+      select t.symbol, t.trade_date as end_date, t.rn as target, t.close as base, e.rn, e.trade_date as match_date, e.close as was, round(list_distance(e.shape, t.shape) / sqrt(60::double), 12) as d from win t join win e on e.symbol = t.symbol and e.rn <= t.rn - 125)""",
+}
+
+
 @REG.add(
     "similar_windows",
     "M-30 J-16 K-02",
-    with_views(
-        f"""select symbol, {day('end_date')} as end_date, {r('d')} as distance, rk as "rank" from (
-          select symbol, end_date, d, row_number() over (partition by symbol order by round(d, 12), o) as rk from (
-            select a.symbol, e.trade_date as end_date, e.rn as o, sqrt(sum(pow(a.close / s.close - t.close / t0.close, 2)) / 60) as d from (select *, max(rn) over (partition by symbol) as n from dn) e
-            join dn a on a.symbol = e.symbol and a.rn between e.rn - 59 and e.rn join dn s on s.symbol = e.symbol and s.rn = e.rn - 59 join dn t on t.symbol = e.symbol and t.rn = e.n - e.rn + a.rn join dn t0 on t0.symbol = e.symbol and t0.rn = e.n - 59
-            where e.rn >= 60 and e.rn <= e.n - 60 - 65 group by a.symbol, e.trade_date, e.rn)) where rk <= 5"""
-    ),
+    with_views(f"select symbol, {day('end_date')} as end_date, {day('match_date')} as match_date, {r('d')} as distance, rk as \"rank\" from sw where rk <= 5", **_SW),
 )
 def _(spark, sf):
-    return SC.similar_windows(V.bars_daily(spark, sf), 60, 65, 5).select("symbol", "end_date", "distance", "rank")
+    return AN.similar_windows(V.bars_daily(spark, sf), 60, 65, 5).select("symbol", "end_date", "match_date", "distance", "rank")
 
 
-@REG.add("similarity_forecasts", "M-30")
+@REG.add(
+    "similarity_forecasts",
+    "M-30",
+    with_views(
+        f"""select symbol, {day('end_date')} as end_date, step, {r('base * m')} as predicted, {r('base * greatest(m - s, 0)')} as lower, {r('base * (m + s)')} as upper, n as matches from (
+          select sw.symbol, sw.end_date, k.step, max(base) as base, avg(a.close / sw.was) as m, stddev_pop(a.close / sw.was) as s, count(*) as n
+          from sw join (select unnest([13, 26, 39, 52, 65]) as step) k on true join dn a on a.symbol = sw.symbol and a.rn = sw.rn + k.step where rk <= 5 group by all)""",
+        **_SW,
+    ),
+)
 def _(spark, sf):
-    return SC.similarity_forecast(SC.similar_windows(V.bars_daily(spark, sf), 60, 65, 5))
+    d = V.bars_daily(spark, sf)
+    return AN.similarity_forecast(d, AN.similar_windows(d, 60, 65, 5), (13, 26, 39, 52, 65))
 
 
 AW = {"r4": 4.0, "r13": 2.0, "v13": 1.0, "m20": 3.0}
+_HAVE = " and ".join(f"{c} is not null" for c in AW)
 _AN = {
-    "an": f"""select *, row_number() over (partition by symbol order by round(d, 12), rn) as rk from (
-      select h.symbol, h.rn, {' + '.join(f'{w} * abs(h.{c} - t.{c})' for c, w in AW.items())} as d from ftv h join (select * from ftv qualify row_number() over (partition by symbol order by trade_date desc) = 1) t on t.symbol = h.symbol where h.rn + 13 <= t.rn and h.v13 is not null and h.r13 is not null)""",
+    "an": f"""select *, row_number() over (partition by symbol, target order by round(d, 12), rn) as rk from (
+      select h.symbol, t.rn as target, t.trade_date, h.rn, {' + '.join(f'{w} * abs(h.{c} - t.{c})' for c, w in AW.items())} as d from (select * from ftv where {_HAVE}) h join (select * from ftv where {_HAVE}) t on t.symbol = h.symbol where h.rn + 13 <= t.rn)""",
 }
 
 
@@ -653,29 +665,43 @@ _AN = {
     "analogue_forecasts",
     "M-31 J-16 K-02",
     with_views(
-        f"""select a.symbol, p.step, {r('quantile_cont(p.ret, 0.1)')} as p10, {r('quantile_cont(p.ret, 0.5)')} as p50, {r('quantile_cont(p.ret, 0.9)')} as p90, {r('avg(p.ret)')} as expected, {r('avg((p.ret > 0.05)::int)')} as p_up, {r('avg((p.ret < -0.05)::int)')} as p_down, count(*) as analogues
-        from an a join lp p on p.symbol = a.symbol and p.rn = a.rn where a.rk <= 40 group by a.symbol, p.step""",
+        f"""select a.symbol, a.target, p.step, {r('quantile_cont(p.ret, 0.1)')} as p10, {r('quantile_cont(p.ret, 0.5)')} as p50, {r('quantile_cont(p.ret, 0.9)')} as p90, {r('avg(p.ret)')} as expected, {r('avg((p.ret > 0.05)::int)')} as p_up, {r('avg((p.ret < -0.05)::int)')} as p_down, count(*) as analogues
+        from an a join lp p on p.symbol = a.symbol and p.rn = a.rn where a.rk <= 40 group by a.symbol, a.target, p.step""",
         **FT, **LP, **_AN,
     ),
 )
 def _(spark, sf):
     t = table(spark, sf)
-    hist = t.where("v13 is not null and r13 is not null")
-    return SC.analogue_forecast(hist, P.last_n(t, 1, ("symbol",), "anchor"), AW, 40)
+    return AN.analogue_forecast(t, t, AW, 40)
 
 
-@REG.add("analogue_quantiles", "M-32")
+_BLEND = "case when n >= 8 then least(0.25, n / 320.0::double) else 0 end"
+
+
+@REG.add(
+    "analogue_quantiles",
+    "M-32",
+    with_views(
+        f"""select symbol, target, step, {r('s[1]')} as p10, {r('s[2]')} as p50, {r('s[3]')} as p90 from (
+          select symbol, target, step, list_sort([expected + (1 - b) * (q1 - expected) + b * coalesce(a1, 0), expected + (1 - b) * (q2 - expected) + b * coalesce(a2, 0), expected + (1 - b) * (q3 - expected) + b * coalesce(a3, 0)]) as s from (
+            select t.symbol, t.rn as target, m.step, m.expected, m.q1, m.q2, m.q3, z.a1, z.a2, z.a3, {_BLEND} as b from (select * from ftv where {_HAVE}) t join mq m on m.symbol = t.symbol
+            left join (select a.symbol, a.target, p.step, quantile_cont(p.ret - m.expected, 0.1) as a1, quantile_cont(p.ret - m.expected, 0.5) as a2, quantile_cont(p.ret - m.expected, 0.9) as a3, count(*) as n
+              from an a join lp p on p.symbol = a.symbol and p.rn = a.rn join mq m on m.symbol = a.symbol and m.step = p.step where a.rk <= 40 group by all) z on z.symbol = t.symbol and z.target = t.rn and z.step = m.step))""",
+        mq=f"select p.symbol, p.step, avg(ret) as expected, quantile_cont(ret, 0.1) as q1, quantile_cont(ret, 0.5) as q2, quantile_cont(ret, 0.9) as q3 from lp p join (select * from ftv where {_HAVE}) f on f.symbol = p.symbol and f.rn = p.rn group by all",
+        **FT, **LP, **_AN,
+    ),
+)
 def _(spark, sf):
-    t = table(spark, sf)
-    now = P.last_n(t, 1, ("symbol",), "anchor")
-    done = t.where("path is not null and v13 is not null and r13 is not null")
-    mean = L.explode_path(done, ["symbol", "ordinal"]).groupBy("symbol", "step").agg(F.avg("ret").alias("expected"), F.expr("percentile(ret, array(0.1, 0.5, 0.9))").alias("q"))
+    """For every anchor: the symbol's mean path and spread, blended with the residuals of its 40 nearest analogues."""
+    t = table(spark, sf).where(" and ".join(f"{c} is not null" for c in AW))
+    done = t.where("path is not null")
+    paths = L.explode_path(done, ["symbol", "ordinal"])
+    mean = paths.groupBy("symbol", "step").agg(F.avg("ret").alias("expected"), F.expr("percentile(ret, array(0.1, 0.5, 0.9))").alias("q"))
     base = mean.select("symbol", "step", "expected", *[(F.col("q")[i] - F.col("expected")).alias(n) for i, n in enumerate(("r10", "r50", "r90"))])
-    j = done.join(now.select("symbol", *[F.col(c).alias(f"t_{c}") for c in AW]), "symbol")
-    dist = sum((w * F.abs(F.col(c) - F.col(f"t_{c}")) for c, w in AW.items()), F.lit(0.0))
-    near = P.top_k(j.withColumn("d", F.round(dist, 12)), ["symbol"], [F.col("d"), F.col("ordinal")], 40)
-    res = L.explode_path(near, ["symbol", "ordinal"]).join(base.select("symbol", "step", "expected"), ["symbol", "step"]).select("symbol", "step", (F.col("ret") - F.col("expected")).alias("res"))
-    return SC.analogue_quantiles(base, res)
+    near = AN.nearest_history(done, t, AW, 40, 13).select("symbol", "target", "ordinal")
+    res = near.join(paths.withColumn("ordinal", F.col("ordinal").cast("long")), ["symbol", "ordinal"]).join(base.select("symbol", "step", "expected"), ["symbol", "step"]).select("symbol", "target", "step", (F.col("ret") - F.col("expected")).alias("res"))
+    targets = t.select("symbol", F.col("ordinal").cast("long").alias("target"))
+    return SC.analogue_quantiles(targets.join(base, "symbol"), res, ("symbol", "target"))
 
 
 @REG.add(
