@@ -205,13 +205,103 @@ def _(spark, sf):
     return C.calibrate_temperature(scored(spark, sf), ["symbol", "h"]).select("symbol", "h", "temperature", "n")
 
 
-@REG.add("selected_calibrators", "M-12 M-13 M-15")
+def _lg(p):
+    return f"ln(greatest(1e-6, least(1 - 1e-6, {p})) / (1 - greatest(1e-6, least(1 - 1e-6, {p}))))"
+
+
+def _fits_sql(tag: str, source: str) -> dict[str, str]:
+    """Counts, Platt models and isotonic pools per (symbol, h) of rows (symbol, h, p_up, hit)."""
+    sums = lambda e: f"list_sum([({e}) for j in range(1, len(xs) + 1)])"
+    mu, w = "1 / (1 + exp(-(a * xs[j] + b)))", "ns[j] * greatest(1e-9, least(1, m[j] * (1 - m[j])))"
+    return {
+        f"{tag}c": f"select symbol, h, p_up as p, count(*) as n, sum(hit) as hits from {source} group by all",
+        f"{tag}l": f"select symbol, h, list({_lg('p')} order by p) as xs, list(n order by p) as ns, list(hits order by p) as hs from {tag}c group by all",
+        f"{tag}n": f"""
+  select symbol, h, xs, ns, hs, 0.0::double as a, 0.0::double as b, 0 as i from {tag}l
+  union all
+  select symbol, h, xs, ns, hs, a + (gx * h1 - g1 * hx) / (hxx * h1 - hx * hx), b + (g1 * hxx - gx * hx) / (hxx * h1 - hx * hx), i + 1 from (
+    select *, {sums('(hs[j] - ns[j] * m[j]) * xs[j]')} as gx, {sums('hs[j] - ns[j] * m[j]')} as g1, {sums(f'{w} * xs[j] * xs[j]')} + 1e-9 as hxx, {sums(f'{w} * xs[j]')} as hx, {sums(w)} + 1e-9 as h1
+    from (select *, [{mu} for j in range(1, len(xs) + 1)] as m from {tag}n where i < 40))""",
+        f"{tag}q": f"select symbol, h, p, sum(n) over o as tn, sum(hits) over o as ts from {tag}c window o as (partition by symbol, h order by p)",
+        f"{tag}z": f"select symbol, h, p, tn, ts from {tag}q union all select distinct symbol, h, -1, 0, 0 from {tag}q",
+        f"{tag}t": f"""select i.symbol, i.h, i.p, i.tn, i.ts from {tag}q i join {tag}z a on a.symbol = i.symbol and a.h = i.h and a.tn <> i.tn group by all
+      having coalesce(max((i.ts - a.ts)::double / (i.tn - a.tn)) filter (a.tn < i.tn) <= min((a.ts - i.ts)::double / (a.tn - i.tn)) filter (a.tn > i.tn), true)""",
+        f"{tag}i": f"select symbol, h, p as x, (ts - coalesce(lag(ts) over o, 0))::double / (tn - coalesce(lag(tn) over o, 0)) as level, tn - coalesce(lag(tn) over o, 0) as n from {tag}t window o as (partition by symbol, h order by p)",
+    }
+
+
+_HITS = {"fh": "select symbol, h, p_up, (actual > 0.05)::int as hit from fc where actual is not null"}
+
+
+@REG.add(
+    "platt_models",
+    "M-13",
+    with_views(f"select symbol, h, {r('a', 4)} as a, {r('b', 4)} as b from ptn where i = 40", **_HITS, **_fits_sql("pt", "fh")),
+)
 def _(spark, sf):
-    c = C.select_calibrator(scored(spark, sf), ["symbol", "h"])
-    return c.select("symbol", "h", "method", "holdout_score", "n", F.size("xs").alias("isotonic_blocks"))
+    m = C.platt_models(C.outcome_counts(scored(spark, sf), ["symbol", "h"]), ["symbol", "h"])
+    return m.select("symbol", "h", cut("a", 4).alias("a"), cut("b", 4).alias("b"))
 
 
-@REG.add("calibrated_probabilities", "M-15 F-06")
+@REG.add(
+    "isotonic_models",
+    "M-12",
+    with_views(f"select symbol, h, {r('x')} as x, {r('level')} as level, n::bigint as n from pti", **_HITS, **_fits_sql("pt", "fh")),
+)
+def _(spark, sf):
+    return C.isotonic_models(C.outcome_counts(scored(spark, sf), ["symbol", "h"]), ["symbol", "h"])
+
+
+_SELECTED = {
+    "se": "select * from (select *, row_number() over (partition by symbol, h order by anchor desc) as k, count(*) over (partition by symbol, h) as m from fc where actual is not null) where k <= 30",
+    "sf": "select symbol, h, p_up, (actual > 0.05)::int as hit from se where least(m, 30) - k + 1 <= 25",
+    **_fits_sql("st", "sf"),
+    "ie": "select *, lead(x) over o as x1, lead(level) over o as y1, first_value(level) over o as y0 from sti window o as (partition by symbol, h order by x)",
+    "i0": "select distinct symbol, h, y0 from ie",
+}
+
+
+def _candidates_sql(rows: str) -> dict[str, str]:
+    """Class probabilities of the three methods for rows of forecasts, with the models fitted on ``sf``."""
+    q = [f"1 / (1 + exp(-{_lg(c)}))" for c in ("p_up", "p_side", "p_down")]
+    spread = lambda up: f"[{up}, p_side / greatest(p_side + p_down, 1e-9) * (1 - {up}), greatest(0, 1 - {up} - p_side / greatest(p_side + p_down, 1e-9) * (1 - {up}))]"
+    clipped = lambda e: f"greatest(1e-6, least(1 - 1e-6, {e}))"
+    return {
+        "cd": f"""select *, [{q[0]} / ({' + '.join(q)}), {q[1]} / ({' + '.join(q)}), {q[2]} / ({' + '.join(q)})] as c1, {spread('u2')} as c2, {spread('u3')} as c3 from (
+      select v.*, {clipped(f"1 / (1 + exp(-(l.a * {_lg('v.p_up')} + l.b)))")} as u2, {clipped("case when e.x is null then i0.y0 when e.x1 is null then e.level else e.level + (v.p_up - e.x) / greatest(e.x1 - e.x, 1e-12) * (e.y1 - e.level) end")} as u3
+      from {rows} v asof left join ie e on e.symbol = v.symbol and e.h = v.h and v.p_up >= e.x join i0 on i0.symbol = v.symbol and i0.h = v.h join (select * from stn where i = 40) l on l.symbol = v.symbol and l.h = v.h)""",
+    }
+
+
+_loss = lambda c: f"avg(0.5 * (pow({c}[1] - ({_CLASS} = 'UP')::int, 2) + pow({c}[2] - ({_CLASS} = 'SIDEWAYS')::int, 2) + pow({c}[3] - ({_CLASS} = 'DOWN')::int, 2)))"
+_PICKED = {
+    "va": "select * from se where least(m, 30) - k + 1 > 25",
+    **_candidates_sql("va"),
+    "sc": f"select symbol, h, list_min([{{'score': round({_loss('c1')}, 12), 'place': 0, 'method': 'TEMPERATURE'}}, {{'score': round({_loss('c2')}, 12), 'place': 1, 'method': 'PLATT'}}, {{'score': round({_loss('c3')}, 12), 'place': 2, 'method': 'ISOTONIC'}}]) as b from cd group by all",
+}
+
+
+@REG.add(
+    "selected_calibrators",
+    "M-12 M-13 M-15",
+    with_views(f"select g.symbol, g.h, coalesce(b.method, 'TEMPERATURE') as method, {r('b.score')} as holdout_score, g.n from (select symbol, h, count(*) as n from se group by all) g left join sc on sc.symbol = g.symbol and sc.h = g.h", **_SELECTED, **_PICKED),
+)
+def _(spark, sf):
+    return C.select_calibrator(scored(spark, sf), ["symbol", "h"]).methods
+
+
+_ALL_ROWS = _candidates_sql("fcn")["cd"]
+
+
+@REG.add(
+    "calibrated_probabilities",
+    "M-15 F-06",
+    with_views(
+        f"""select x.symbol, {day('x.anchor')} as anchor, x.h, {r('c[1]')} as c_up, {r('c[2]')} as c_side, {r('c[3]')} as c_down from (
+          select al.*, case coalesce(b.method, 'TEMPERATURE') when 'PLATT' then c2 when 'ISOTONIC' then c3 else c1 end as c from al left join sc on sc.symbol = al.symbol and sc.h = al.h) x""",
+        **_SELECTED, **_PICKED, fcn="select * from fc where actual is not null", al=_ALL_ROWS,
+    ),
+)
 def _(spark, sf):
     s = scored(spark, sf)
     return C.apply_calibrator(s, C.select_calibrator(s, ["symbol", "h"]), ["symbol", "h"]).select("symbol", "anchor", "h", "c_up", "c_side", "c_down")

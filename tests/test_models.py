@@ -61,29 +61,57 @@ def test_stump_round_is_the_best_split(spark):
         assert s.feature == int(np.argmax(gains)) and abs(s.gain - max(gains)) < 1e-9
 
 
-def test_isotonic_is_pool_adjacent_violators():
-    rng = np.random.default_rng(3)
-    p, y = rng.random(25), (rng.random(25) < 0.5).astype(float)
-    xs, ys = C.isotonic(p, y)
-    order = np.argsort(p)
+def plain_pools(p, y):
+    """Pool adjacent violators one value at a time; equal p first."""
     blocks = []
-    for v in y[order]:
-        blocks.append([v, 1])
-        while len(blocks) > 1 and blocks[-1][0] < blocks[-2][0]:
+    for v in np.unique(p):
+        blocks.append([v, int(y[p == v].sum()), int((p == v).sum())])
+        while len(blocks) > 1 and blocks[-1][1] * blocks[-2][2] < blocks[-2][1] * blocks[-1][2]:
             b, a = blocks.pop(), blocks.pop()
-            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1]])
-    level = np.repeat([b[0] for b in blocks], [b[1] for b in blocks])
-    assert np.allclose([ys[np.searchsorted(xs, v)] for v in p[order]], level)
+            blocks.append([b[0], a[1] + b[1], a[2] + b[2]])
+    return blocks
 
 
-def test_platt_gradient_vanishes():
+def test_isotonic_pools_merge_over_many_ranges_of_a_hot_group(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g, n in (("hot", 3000), ("few", 25), ("one", 1), ("same", 40)):
+        p = np.round(rng.random(n), 3) if g != "same" else np.full(n, 0.4)
+        rows += [(g, float(v), "UP" if rng.random() < v**2 else "DOWN") for v in p]
+    df = spark.createDataFrame(rows + [("few", None, "UP"), ("few", 0.5, None)], "g string, p_up double, actual_class string")
+    counts = C.outcome_counts(df, ["g"])
+    for parts, fan in ((1, 8), (7, 2), (12, 3)):
+        got = {}
+        for r in C.isotonic_models(counts, ["g"], parts, fan).orderBy("g", "x").collect():
+            got.setdefault(r.g, []).append((r.x, r.level, r.n))
+        for g in ("hot", "few", "one", "same"):
+            p, y = np.array([r[1] for r in rows if r[0] == g]), np.array([r[2] == "UP" for r in rows if r[0] == g])
+            assert got[g] == [(x, h / n, n) for x, h, n in plain_pools(p, y)]
+    assert C.isotonic_models(counts.where("false"), ["g"], 4).count() == 0
+
+
+def test_isotonic_values_are_linear_between_pools(spark):
+    models = spark.createDataFrame([("a", 0.2, 0.1, 5), ("a", 0.6, 0.5, 5), ("a", 0.8, 0.5, 5)], "g string, x double, level double, n long")
+    rows = spark.createDataFrame([("a", v) for v in (0.0, 0.2, 0.3, 0.6, 0.7, 0.8, 0.95)] + [("b", 0.5)], "g string, p_up double")
+    got = {(r.g, r.p_up): r.isotonic for r in C.isotonic_value(rows, models, ["g"]).collect()}
+    assert got.pop(("b", 0.5)) is None
+    assert np.allclose([got["a", v] for v in (0.0, 0.2, 0.3, 0.6, 0.7, 0.8, 0.95)], np.interp([0.0, 0.2, 0.3, 0.6, 0.7, 0.8, 0.95], [0.2, 0.6, 0.8], [0.1, 0.5, 0.5]))
+
+
+def test_platt_gradient_vanishes_for_every_group(spark):
     rng = np.random.default_rng(4)
-    p = rng.random(200) * 0.8 + 0.1
-    hit = (rng.random(200) < p).astype(float)
-    a, b = C.platt(p, hit)
-    z = np.log(p / (1 - p))
-    mu = 1 / (1 + np.exp(-(a * z + b)))
-    assert abs((hit - mu).sum()) < 1e-5 and abs(((hit - mu) * z).sum()) < 1e-5
+    rows = []
+    for g in "abc":
+        p = np.round(rng.random(300) * 0.8 + 0.1, 2)
+        rows += [(g, float(v), "UP" if rng.random() < v / (1 + (g == "b")) else "SIDEWAYS") for v in p]
+    df = spark.createDataFrame(rows, "g string, p_up double, actual_class string")
+    models = {r.g: (r.a, r.b) for r in C.platt_models(C.outcome_counts(df, ["g"]), ["g"]).collect()}
+    assert set(models) == set("abc")
+    for g, (a, b) in models.items():
+        p, hit = np.array([r[1] for r in rows if r[0] == g]), np.array([r[2] == "UP" for r in rows if r[0] == g], float)
+        z = np.log(p / (1 - p))
+        mu = 1 / (1 + np.exp(-(a * z + b)))
+        assert abs((hit - mu).sum()) < 1e-6 and abs(((hit - mu) * z).sum()) < 1e-6
 
 
 def _split(amount, first, limit=20, grid=5, slots=4):
