@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.scalar import as_col, clip
-from barloom.operators.panel import run_length
+from barloom.operators.panel import ordered, run_length
 from barloom.operators.rules import reasons
 
 
@@ -119,7 +119,7 @@ def health_states(df: DataFrame, by: Sequence[str] = ("symbol",), t: str = "anch
     """Model health with hysteresis: two high scores enter, three low ones leave; degradation needs three of each.
 
     df: by, t, ood_score, degraded (boolean). Counters are run lengths; the sticky
-    state is folded over a key's anchors (one per week).
+    state is that of the last row which set it, so ordered windows suffice.
     """
     c = F.col
     level = F.when(c("ood_score") >= 0.50, "high").when(c("ood_score") <= 0.35, "low").otherwise("mid")
@@ -132,20 +132,12 @@ def health_states(df: DataFrame, by: Sequence[str] = ("symbol",), t: str = "anch
             "degraded_entry": F.when(c("degraded"), c("_dr")).otherwise(0), "degraded_exit": F.when(~c("degraded"), c("_dr")).otherwise(0),
         }
     ).drop("_lv", "_lr", "_dr")
-    rows = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), "ood_entry", "ood_exit", "degraded_entry", "degraded_exit")))
-    g = d.groupBy(*by).agg(rows.alias("_r"))
-
-    def step(acc, r):
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("MODEL_NORMAL"))
-        state = (
-            F.when(r["ood_entry"] >= 2, "MODEL_OUT_OF_DISTRIBUTION").when((prev == "MODEL_OUT_OF_DISTRIBUTION") & (r["ood_exit"] < 3), prev)
-            .when(r["degraded_entry"] >= 3, "MODEL_DEGRADED").when((prev == "MODEL_DEGRADED") & (r["degraded_exit"] < 3), prev).otherwise("MODEL_NORMAL")
-        )
-        return F.concat(acc, F.array(state))
-
-    states = F.aggregate("_r", F.array().cast("array<string>"), step)
-    flat = g.select(*by, F.inline(F.arrays_zip(F.transform("_r", lambda r: r["t"]).alias(t), states.alias("health"))))
-    return d.join(flat, [*by, t])
+    # Whether a key is out of distribution depends on nothing but the last row that entered or left; given that, the same holds for degradation.
+    upto = ordered(by, t).rowsBetween(Window.unboundedPreceding, 0)
+    holds = lambda mark: F.coalesce(F.last(mark, ignorenulls=True).over(upto), F.lit(False))
+    d = d.withColumn("_out", holds(F.when(c("ood_entry") >= 2, True).when(c("ood_exit") >= 3, False)))
+    d = d.withColumn("_worse", holds(F.when(c("_out"), False).when(c("degraded_entry") >= 3, True).when(c("degraded_exit") >= 3, False)))
+    return d.withColumn("health", F.when(c("_out"), "MODEL_OUT_OF_DISTRIBUTION").when(c("_worse"), "MODEL_DEGRADED").otherwise("MODEL_NORMAL")).drop("_out", "_worse")
 
 
 def reliability(df: DataFrame) -> DataFrame:

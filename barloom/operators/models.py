@@ -300,18 +300,33 @@ def training_window(df: DataFrame, mode: str, cutoff: str, by: Sequence[str] = (
     return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
-def independent_windows(df: DataFrame, by: Sequence[str], start: str = "anchor", end: str = "label_end") -> DataFrame:
-    """Largest number of non-overlapping intervals per key, by earliest finish.
+def next_free(nodes: DataFrame, by: Sequence[str], block: Column) -> DataFrame:
+    """(by, end, next): of the intervals (start, end) that start at an end or later, the earliest end.
 
-    Intervals that end on the same day compete only with their latest start, so a
-    key keeps one per end date before the fold.
+    Minima run backwards inside (key, block of time) and over the blocks, so a key's intervals are spread over tasks.
     """
-    days = df.groupBy(*by, end).agg(F.max(start).alias("_s"))
-    arr = days.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(end).alias("e"), F.col("_s").alias("s")))).alias("_i"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("date").alias("last"))
+    keys = list(by)
+    probes = nodes.select(*keys, F.col("end").alias("_at"), F.lit(None).cast(nodes.schema["end"].dataType).alias("_e"))
+    both = nodes.select(*keys, F.col("start").alias("_at"), F.col("end").alias("_e")).unionByName(probes).withColumn("_block", block)
+    inside = Window.partitionBy(*keys, "_block").orderBy(F.desc("_at"), F.col("_e").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy(*keys, "_block").agg(F.min("_e").alias("_m")).withColumn("_later", F.min("_m").over(later)).drop("_m")
+    own = both.withColumn("_own", F.min("_e").over(inside)).where(F.col("_e").isNull())
+    return own.join(blocks, [*keys, "_block"]).select(*keys, F.col("_at").alias("end"), F.least("_own", "_later").alias("next"))
+
 
-    def take(acc, x):
-        free = acc["last"].isNull() | (x["s"] >= acc["last"])
-        return F.when(free, F.struct((acc["n"] + 1).alias("n"), x["e"].alias("last"))).otherwise(acc)
+def independent_windows(df: DataFrame, by: Sequence[str], start: str = "anchor", end: str = "label_end") -> DataFrame:
+    """Largest number of non-overlapping intervals per key: the chain of earliest finishes, its links ranked by doubling.
 
-    return arr.select(*by, F.aggregate("_i", zero, take, lambda acc: acc["n"]).alias("independent"))
+    Intervals that end on the same day compete only with their latest start. Every interval points to the one that may
+    follow it; in each round the counts along the links are added and the links doubled, by joins on (key, end), so a
+    chain of n links takes log n rounds and no key is gathered in one place.
+    """
+    keys = list(by)
+    nodes = cut_lineage(df.groupBy(*keys, F.col(end).alias("end")).agg(F.max(start).alias("start")))
+    links = cut_lineage(next_free(nodes, keys, F.year("_at")).withColumn("count", F.lit(1)))
+    while not links.where("next is not null").isEmpty():
+        ahead = links.select(*keys, F.col("end").alias("next"), F.col("count").alias("_more"), F.col("next").alias("_then"))
+        j = links.join(ahead, [*keys, "next"], "left")
+        links = cut_lineage(j.select(*keys, "end", F.col("_then").alias("next"), (F.col("count") + F.coalesce("_more", F.lit(0))).alias("count")))
+    return links.groupBy(*keys).agg(F.min_by("count", "end").alias("independent"))
