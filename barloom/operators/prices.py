@@ -135,3 +135,12 @@ def current_universe(df: DataFrame, slots: DataFrame, on: str = "symbol") -> Dat
 def align_axis(dates: DataFrame, values: DataFrame, on: Sequence[str]) -> DataFrame:
     """Values on a given date axis; gaps stay NULL."""
     return dates.join(values, list(on), "left")
+
+
+def session_axis(keys: DataFrame, sessions: DataFrame, t: str = "trade_date") -> DataFrame:
+    """Every session for every key: the months of the calendar are listed per key and met with their sessions by month."""
+    months = sessions.select(t, F.trunc(t, "month").alias("_month"))
+    ends = sessions.select(F.trunc(F.min(t), "month").alias("a"), F.trunc(F.max(t), "month").alias("b"))
+    listed = keys.withColumns({"_a": ends.select("a").scalar(), "_b": ends.select("b").scalar()}).where("_a is not null")
+    listed = listed.select(*keys.columns, F.explode(F.sequence("_a", "_b", F.expr("interval 1 month"))).alias("_month"))
+    return listed.join(months, "_month").drop("_month")

@@ -421,16 +421,16 @@ def _(spark, sf):
     "date_axis_alignment",
     "P-16 U-01",
     with_views(
-        f"""select {day('c.session_date')} as trade_date, {r('a.close')} as close_af, {r('b.close')} as close_no from cal c
-        left join (select * from d where symbol = 'AF') a on a.trade_date = c.session_date left join (select * from d where symbol = 'NO') b on b.trade_date = c.session_date"""
+        f"""select s.symbol, {day('c.session_date')} as trade_date, {r('x.close')} as close, {r('x.volume')} as volume, (x.close is null)::bigint as missing
+        from (select distinct symbol from d) s cross join cal c left join d x on x.symbol = s.symbol and x.trade_date = c.session_date"""
     ),
 )
 def _(spark, sf):
+    """Every series on the axis of all sessions; sessions that a series lacks stay NULL."""
     d = V.bars_daily(spark, sf)
-    a = d.where("symbol = 'AF'").select("trade_date", F.col("close").alias("close_af"))
-    b = d.where("symbol = 'NO'").select("trade_date", F.col("close").alias("close_no"))
-    axis = V.calendar(spark, sf).select(F.col("session_date").alias("trade_date"))
-    return X.align_axis(X.align_axis(axis, a, ["trade_date"]), b, ["trade_date"])
+    axis = X.session_axis(d.select("symbol").distinct(), V.calendar(spark, sf).withColumnRenamed("session_date", "trade_date"))
+    out = X.align_axis(axis, d.select("symbol", "trade_date", "close", "volume"), ["symbol", "trade_date"])
+    return out.withColumn("missing", F.col("close").isNull())
 
 
 @REG.add(

@@ -284,7 +284,8 @@ REG.add(
         f"""select {KEY}, {r('s')} as signal_score, case when s >= 0.08 then 'up' when s <= -0.08 then 'down' else 'sideways' end as signal_direction,
           case when s >= 0.7 then 'VERY_STRONG_BULL' when s >= 0.45 then 'STRONG_BULL' when s >= 0.2 then 'BULL' when s >= 0.05 then 'MILD_BULL' when s > -0.05 then 'NEUTRAL' when s > -0.2 then 'MILD_BEAR' when s > -0.45 then 'BEAR' else 'STRONG_BEAR' end as signal_state,
           case when vp >= 90 and s > 0.2 then case when hist >= ph then 'EXPENSIVE_STRONG' else 'EXPENSIVE_FADING' end when vp <= 15 and s < -0.08 then case when hist > ph then 'CHEAP_STABILISING' else 'CHEAP_WEAK' end when s < -0.45 then 'FALL_ACCELERATING' when s > 0.2 then 'FAIR_RISING' else 'FAIR_RANGING' end as signal_market_state,
+          {r('case when s >= 0.7 then 95 when s >= 0.45 then 80 when s >= 0.2 then 70 when s >= 0.05 then 60 when s > -0.05 then 50 when s > -0.2 then 40 when s > -0.45 then 30 else 15 end')} as base_target,
           {r('greatest(35, least(90, 56 + abs(s) * 30))')} as signal_confidence from ss""",
         **_SIG,
     ),
-)(lambda spark, sf: REG.queries["weekly_signals"](spark, sf).where("signal_score is not null").drop("base_target"))
+)(lambda spark, sf: REG.queries["weekly_signals"](spark, sf).where("signal_score is not null"))

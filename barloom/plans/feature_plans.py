@@ -108,6 +108,7 @@ def _weekly_sql() -> dict[str, str]:
     c |= {f"weekly_volatility_{n}": _pop(n, 52) for n in (4, 13, 20)}
     c |= {"weekly_volume_zscore_20": _z(20), "weekly_volume_zscore_52": _z(52), "weekly_price_volume_correlation_13": _corr(13)}
     c |= {"weekly_obv_slope_13": f"{SLOPE('obv', 13)} / greatest(abs(obv), 1.0)"}
+    c |= {"weekly_drawdown_60": "case when len(l60) = 60 then list_min([l60[j] / list_max(l60[1:j]) - 1 for j in range(1, 61)]) end"}
     return c
 
 
@@ -124,9 +125,9 @@ def _(spark, sf):
     return FE.features_daily(V.bars_daily(spark, sf))
 
 
-@REG.add("weekly_feature_rows", "W-38", with_views(_select(_weekly_sql()), fbase=_base_sql("macd_w", "w")))
+@REG.add("weekly_feature_rows", "W-38", with_views(_select(_weekly_sql()), fbase=f"select *, list(close) over {fr(60)} as l60 from ({_base_sql('macd_w', 'w')})"))
 def _(spark, sf):
-    return FE.features_weekly(V.bars_weekly(spark, sf)).drop("weekly_drawdown_60")
+    return FE.features_weekly(V.bars_weekly(spark, sf))
 
 
 _STATE_SRC = f"""select *, case when dd <= -0.15 then 'DRAWDOWN' when rb >= 0.1 and dd > -0.1 then 'RECOVERY' when vol >= 0.3 then 'HIGH_VOLATILITY' when vol <= 0.15 then 'LOW_VOLATILITY'

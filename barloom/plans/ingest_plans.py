@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from barloom.functions import scalar as S
 from barloom.operators import bars as B, indicators as I, ingest as G, panel as P, pit, prices as X, sampling as K
@@ -498,22 +499,36 @@ def _(spark, sf):
     return pit.tracking_error(hit, "close", "bench_close", 20).select("symbol", "trade_date", "bench_close", "tracking_error_20")
 
 
+def _series_pairs(series):
+    """Pairs (first, second) of different series, first before second by name; the catalog of series is a small table."""
+    catalog = series.select("symbol").distinct()
+    names = catalog.select(F.array_sort(F.collect_set("symbol"))).scalar()
+    return catalog.withColumn("_all", names).select(F.col("symbol").alias("first"), F.explode(F.filter("_all", lambda x: x > F.col("symbol"))).alias("second"))
+
+
+def _side(df, pairs, side):
+    """Rows of df for every pair in which their series is the first or the second."""
+    return df.join(pairs.withColumn("symbol", F.col(side)), "symbol").drop("symbol")
+
+
 @REG.add(
     "outer_fill_alignment",
     "J-07",
     with_views(
-        f"""select k, {day('trade_date')} as trade_date, {r('a')} as a_close, {r('b')} as b_close, {r('a - b')} as diff_close from (
-          select k, trade_date, last_value(a ignore nulls) over o as a, last_value(b ignore nulls) over o as b from (
-            select coalesce(x.k, y.k) as k, coalesce(x.trade_date, y.trade_date) as trade_date, x.close as a, y.close as b
-            from (select symbol[1] as k, trade_date, close from d where symbol like '%F') x full join (select symbol[1] as k, trade_date, close from w where symbol like '%O') y on x.k = y.k and x.trade_date = y.trade_date)
-          window o as (partition by k order by trade_date rows between unbounded preceding and current row))"""
+        f"""select "first", "second", {day('trade_date')} as trade_date, {r('a')} as a_close, {r('b')} as b_close, {r('a - b')} as diff_close from (
+          select "first", "second", trade_date, last_value(a ignore nulls) over o as a, last_value(b ignore nulls) over o as b from (
+            select p.a as "first", p.b as "second", t.trade_date, x.close as a, y.close as b
+            from (select a.symbol as a, b.symbol as b from (select distinct symbol from d) a join (select distinct symbol from d) b on a.symbol < b.symbol) p
+            join (select symbol, trade_date from d union all select 'week ' || symbol, trade_date from w) t on t.symbol in (p.a, 'week ' || p.b)
+            left join d x on x.symbol = p.a and x.trade_date = t.trade_date left join w y on y.symbol = p.b and y.trade_date = t.trade_date group by all)
+          window o as (partition by "first", "second" order by trade_date rows between unbounded preceding and current row))"""
     ),
 )
 def _(spark, sf):
-    k = F.substring("symbol", 1, 1).alias("k")
-    a = V.bars_daily(spark, sf).where("symbol like '%F'").select(k, "trade_date", "close")
-    b = V.bars_weekly(spark, sf).where("symbol like '%O'").select(k, "trade_date", "close")
-    return pit.align_outer_ffill(a, b, ["k"], "trade_date", ["close"])
+    """Daily closes of each series beside the weekly closes of every later one, carried forward on the union of their dates."""
+    daily, weekly = (v(spark, sf).select("symbol", "trade_date", "close") for v in (V.bars_daily, V.bars_weekly))
+    pairs = _series_pairs(daily)
+    return pit.align_outer_ffill(_side(daily, pairs, "first"), _side(weekly, pairs, "second"), ["first", "second"], "trade_date", ["close"])
 
 
 @REG.add(
@@ -560,30 +575,36 @@ def _(spark, sf):
     return pit.session_distance(near, V.calendar(spark, sf), "trade_date", "nearest_m_date").drop("close")
 
 
+_PAIRED = """(select a.symbol as a, b.symbol as b from (select distinct symbol from d) a join (select distinct symbol from d) b on a.symbol < b.symbol) p"""
+
+
 @REG.add(
     "key_sets",
     "J-15 U-01 U-02 U-03",
     with_views(
-        """select 'both' as side, count(*) as n from (select trade_date from d where symbol = 'AF' intersect select trade_date from d where symbol = 'NO')
-        union all select 'only_first', count(*) from (select trade_date from d where symbol = 'AF' except select trade_date from d where symbol = 'NO')
-        union all select 'only_second', count(*) from (select trade_date from d where symbol = 'NO' except select trade_date from d where symbol = 'AF')
-        union all select 'missing', count(*) from (select trade_date from d where symbol = 'AF' except select trade_date from d where symbol = 'RF')
-        union all select 'kept', count(*) from (select trade_date from d where symbol = 'AF' intersect select trade_date from d where symbol = 'RF')"""
+        f"""select p.a as "first", p.b as "second", s.side, count(*) as n from {_PAIRED} join lateral (
+          select 'both' as side, trade_date from d where symbol = p.a and trade_date in (select trade_date from d where symbol = p.b)
+          union all select 'only_first', trade_date from d where symbol = p.a and trade_date not in (select trade_date from d where symbol = p.b)
+          union all select 'only_second', trade_date from d where symbol = p.b and trade_date not in (select trade_date from d where symbol = p.a)
+          union all select 'missing', trade_date from d where symbol = p.a and trade_date not in (select trade_date from d where symbol = p.b)
+          union all select 'kept', trade_date from d where symbol = p.a and trade_date in (select trade_date from d where symbol = p.b)
+          union all (select 'either', trade_date from d where symbol in (p.a, p.b) group by trade_date)) s on true group by all"""
     ),
 )
 def _(spark, sf):
-    d = V.bars_daily(spark, sf)
-    a, b, c = (d.where(F.col("symbol") == s).select("trade_date") for s in ("AF", "NO", "RF"))
+    """Sessions that two series share, that only one has, and that either has, for every pair of series."""
+    d = V.bars_daily(spark, sf).select("symbol", "trade_date")
+    pairs = _series_pairs(d)
+    a, b = _side(d, pairs, "first"), _side(d, pairs, "second")
+    keys = ["first", "second", "trade_date"]
     sides = [
-        pit.common_keys(a, b, ["trade_date"]).withColumn("side", F.lit("both")),
-        pit.key_diff(a, b, ["trade_date"]),
-        pit.only_missing(a, c, ["trade_date"]).withColumn("side", F.lit("missing")),
-        pit.drop_stale(a, c, ["trade_date"]).withColumn("side", F.lit("kept")),
+        pit.common_keys(a, b, keys).withColumn("side", F.lit("both")),
+        pit.key_diff(a, b, keys),
+        pit.only_missing(a, b, keys).withColumn("side", F.lit("missing")),
+        pit.drop_stale(a, b, keys).withColumn("side", F.lit("kept")),
+        a.select(*keys).union(b.select(*keys)).distinct().withColumn("side", F.lit("either")),
     ]
-    out = sides[0]
-    for s in sides[1:]:
-        out = out.unionByName(s)
-    return out.groupBy("side").agg(F.count("*").alias("n"))
+    return functools.reduce(DataFrame.unionByName, sides).groupBy("first", "second", "side").agg(F.count("*").alias("n"))
 
 
 @REG.add(
