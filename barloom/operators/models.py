@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from barloom.functions.scalar import as_col, clip
-from barloom.operators.panel import ordered
+from barloom.operators.panel import exact_quantiles, ordered
 from barloom.session import cut_lineage
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -31,13 +31,12 @@ def _number(name: str) -> Column:
 def fit_scaler(df: DataFrame, names: Sequence[str], by: Sequence[str], weight: str | None = None) -> DataFrame:
     """Medians, weighted means and scales of every feature per group, as arrays in feature order.
 
-    Long form (group, feature): one partial aggregate per feature. The median is
-    exact over the rows of a group, which are anchors (calendar-bounded).
+    Long form (group, feature): partial aggregates per feature, and exact medians.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     long = df.select(*by, w.alias("_w"), F.posexplode(F.array(*[_number(n) for n in names])).alias("_i", "_v"))
-    med = long.groupBy(*by, "_i").agg(F.coalesce(F.expr("percentile(_v, 0.5)"), F.lit(0.0)).alias("_med"))
-    filled = long.join(med, [*by, "_i"]).withColumn("_x", F.coalesce("_v", "_med"))
+    med = exact_quantiles(long, [*by, "_i"], "_v", [0.5]).select(*by, "_i", F.col("quantiles")[0].alias("_med"))
+    filled = long.join(med, [*by, "_i"], "left").withColumn("_med", F.coalesce("_med", F.lit(0.0))).withColumn("_x", F.coalesce("_v", "_med"))
     s = filled.groupBy(*by, "_i").agg(
         F.first("_med").alias("_med"), F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_x")).alias("_s1"),
         F.sum(F.col("_w") * F.pow(F.col("_x") - F.col("_med"), 2)).alias("_s2"),
@@ -182,7 +181,7 @@ def fit_stumps(df: DataFrame, by: Sequence[str], features: int, outputs: int, ro
     """
     keys = list(by)
     long0 = df.select(*keys, "id", F.posexplode("z").alias("feature", "xv"))
-    thresholds = cut_lineage(long0.groupBy(*keys, "feature").agg(F.expr("percentile(xv, 0.5)").alias("threshold")))
+    thresholds = cut_lineage(exact_quantiles(long0, [*keys, "feature"], "xv", [0.5]).select(*keys, "feature", F.col("quantiles")[0].alias("threshold")))
     work = df.withColumn("fitted", F.array(*[F.lit(0.0)] * outputs))
     stumps = None
     for rnd in range(rounds):
@@ -220,7 +219,7 @@ def ood_fit(df: DataFrame, names: Sequence[str], by: Sequence[str], shrinkage: f
     """Quantile bounds, robust centre and scale, and the shrunk precision matrix of the features per group."""
     keys = list(by)
     long = df.select(*keys, F.posexplode(F.array(*[_number(n) for n in names])).alias("_i", "_v"))
-    q = long.groupBy(*keys, "_i").agg(F.expr("percentile(_v, array(0.01, 0.25, 0.5, 0.75, 0.99))").alias("_q"))
+    q = long.select(*keys, "_i").distinct().join(exact_quantiles(long, [*keys, "_i"], "_v", [0.01, 0.25, 0.5, 0.75, 0.99], "_q"), [*keys, "_i"], "left")
     stats = q.select(*keys, "_i", *[F.col("_q")[i].alias(n) for i, n in enumerate(("lo", "q1", "mid", "q3", "hi"))])
     rows = F.array_sort(F.collect_list(F.struct("_i", "lo", "mid", "hi", F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(1e-9)).alias("rs"))))
     st = stats.groupBy(*keys).agg(rows.alias("_r"))

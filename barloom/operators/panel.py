@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from barloom.functions.scalar import as_col
+from barloom.session import cut_lineage
 
 BY = ("symbol",)
 T = "trade_date"
@@ -270,3 +271,46 @@ def nearest_join(
     )
     found = picked.select(*by, left_t, f"nearest_{right_t}", *[F.col(f"_hit.{c}") for c in cols])
     return left.join(found, [*by, left_t], "left")
+
+
+# ---- exact quantiles --------------------------------------------------------------------
+
+#: A sketch's ranks are right to a share of 1 / ACCURACY of the rows; brackets reach MARGIN to both sides.
+ACCURACY, MARGIN = 10_000, 0.001
+
+
+def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], out: str = "quantiles") -> DataFrame:
+    """(by, out): interpolated quantiles of a column per group, as an array in the order of ``shares``, exact.
+
+    Two passes. A sketch of bounded size brackets every quantile between two values. Then all rows are counted against
+    the brackets: rows outside only as numbers, rows inside by their different values, which are a share of about
+    2 * MARGIN of the group; the ranks among them pick the values. No task holds a group's values. NULL and NaN are left
+    out, and groups without a value have no row.
+    """
+    keys = list(by)
+    known = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    known = cut_lineage(known)  # read twice
+    ends = [max(0.0, min(1.0, q + side)) for q in shares for side in (-MARGIN, MARGIN)]
+    sketch = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e"))
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi")) for i, q in enumerate(shares)])
+    each = known.join(sketch.select(*keys, "_n", asked.alias("_a")), keys).select(*keys, "_v", "_n", F.inline("_a"))
+    v = F.col("_v")
+    inside = F.when((v >= F.col("lo")) & (v <= F.col("hi")), v)
+    counts = each.groupBy(*keys, "i", inside.alias("_in")).agg(
+        F.first("q").alias("_q"), F.first("_n").alias("_n"), F.count_if((v < F.col("lo")) | F.col("lo").isNull()).alias("_below"), F.count("*").alias("_c"),
+        F.max(F.when(v < F.col("lo"), v)).alias("_under"), F.min(F.when(v > F.col("hi"), v)).alias("_over"),
+    )
+    upto = Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("_in")).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_upto", F.sum(F.when(F.col("_in").isNull(), F.col("_below")).otherwise(F.col("_c"))).over(upto))
+    place = F.col("_q") * (F.col("_n") - 1)
+    counts = counts.withColumns({"_k": F.floor(place), "_part": place - F.floor(place)})
+
+    def at(k):
+        """Value of rank k (from 0): below the bracket, in it, or the next one above."""
+        found = F.min(F.when(F.col("_in").isNotNull() & (F.col("_upto") > k), F.col("_in")))
+        return F.when(F.max("_below") > F.max(k), F.max("_under")).otherwise(F.coalesce(found, F.min("_over")))
+
+    picked = counts.groupBy(*keys, "i").agg(F.first("_part").alias("_part"), at(F.col("_k")).alias("_x"), at(F.col("_k") + 1).alias("_y"))
+    quantile = F.when(F.col("_part") > 0, (1 - F.col("_part")) * F.col("_x") + F.col("_part") * F.col("_y")).otherwise(F.col("_x"))
+    listed = picked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", quantile.alias("x")))).alias("_l"))
+    return listed.select(*keys, F.transform("_l", lambda e: e["x"]).alias(out))

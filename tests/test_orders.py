@@ -67,3 +67,19 @@ def test_independent_windows_equal_the_greedy_choice(spark):
                 count, last = count + 1, e
         assert got[key] == count, key
     assert M.independent_windows(df.where("false"), ["g"]).count() == 0
+
+
+def test_exact_quantiles_of_a_hot_group_ties_and_gaps(spark):
+    import numpy as np
+
+    from barloom.operators import panel as P
+
+    rng = np.random.default_rng(3)
+    groups = {"hot": rng.normal(size=40_000), "ties": rng.integers(0, 3, 5_000).astype(float), "six": rng.random(6), "two": np.array([3.0, -1.0]), "one": np.array([7.0])}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("none", None), ("none", float("nan")), ("six", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r.g: r.quantiles for r in P.exact_quantiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert np.allclose(got[g], np.quantile(values, shares), rtol=0, atol=1e-12), g
