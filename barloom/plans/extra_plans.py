@@ -277,15 +277,24 @@ _SIG["sx"] = _SIG["sx"].replace("select x.*, y.vp", "select x.*, y.vp, y.v13, gr
 _SIG["ss"] = f"""select *, greatest(-1, least(1, 0.25 * greatest(-1, least(1, mom / (sc * 3))) + 0.25 * greatest(-1, least(1, ((close / m20 - 1) * 0.65 + (close / m60 - 1) * 0.35) / greatest(sc * 2, 0.02))) + 0.2 * greatest(-1, least(1, (dif - dea) / close / greatest(sc / 4, 0.002)))
     + 0.15 * coalesce(greatest(-1, least(1, (50 - vp) / 50)), 0) + 0.15 * greatest(-1, least(1, 1 + {_DDW} / greatest(v13, 0.08))))) as s from sx x where rn >= 60"""
 
+_SIGNAL = f"""{r('s')} as signal_score, case when s >= 0.08 then 'up' when s <= -0.08 then 'down' else 'sideways' end as signal_direction,
+          case when s >= 0.7 then 'VERY_STRONG_BULL' when s >= 0.45 then 'STRONG_BULL' when s >= 0.2 then 'BULL' when s >= 0.05 then 'MILD_BULL' when s > -0.05 then 'NEUTRAL' when s > -0.2 then 'MILD_BEAR' when s > -0.45 then 'BEAR' else 'STRONG_BEAR' end as signal_state,
+          case when vp >= 90 and s > 0.2 then case when hist >= ph then 'EXPENSIVE_STRONG' else 'EXPENSIVE_FADING' end when vp <= 15 and s < -0.08 then case when hist > ph then 'CHEAP_STABILISING' else 'CHEAP_WEAK' end when s < -0.45 then 'FALL_ACCELERATING' when s > 0.2 then 'FAIR_RISING' else 'FAIR_RANGING' end as signal_market_state,
+          {r('case when s >= 0.7 then 95 when s >= 0.45 then 80 when s >= 0.2 then 70 when s >= 0.05 then 60 when s > -0.05 then 50 when s > -0.2 then 40 when s > -0.45 then 30 else 15 end')} as base_target,
+          {r('greatest(35, least(90, 56 + abs(s) * 30))')} as signal_confidence"""
+
 REG.add(
     "weekly_signal_states",
     "S-05",
     with_views(
-        f"""select {KEY}, {r('s')} as signal_score, case when s >= 0.08 then 'up' when s <= -0.08 then 'down' else 'sideways' end as signal_direction,
-          case when s >= 0.7 then 'VERY_STRONG_BULL' when s >= 0.45 then 'STRONG_BULL' when s >= 0.2 then 'BULL' when s >= 0.05 then 'MILD_BULL' when s > -0.05 then 'NEUTRAL' when s > -0.2 then 'MILD_BEAR' when s > -0.45 then 'BEAR' else 'STRONG_BEAR' end as signal_state,
-          case when vp >= 90 and s > 0.2 then case when hist >= ph then 'EXPENSIVE_STRONG' else 'EXPENSIVE_FADING' end when vp <= 15 and s < -0.08 then case when hist > ph then 'CHEAP_STABILISING' else 'CHEAP_WEAK' end when s < -0.45 then 'FALL_ACCELERATING' when s > 0.2 then 'FAIR_RISING' else 'FAIR_RANGING' end as signal_market_state,
-          {r('case when s >= 0.7 then 95 when s >= 0.45 then 80 when s >= 0.2 then 70 when s >= 0.05 then 60 when s > -0.05 then 50 when s > -0.2 then 40 when s > -0.45 then 30 else 15 end')} as base_target,
-          {r('greatest(35, least(90, 56 + abs(s) * 30))')} as signal_confidence from ss""",
+        f"""select {KEY}, {_SIGNAL} from ss""",
         **_SIG,
     ),
 )(lambda spark, sf: REG.queries["weekly_signals"](spark, sf).where("signal_score is not null"))
+
+# All weeks: those before the first score have no signal.
+REG.sql["weekly_signals"] = with_views(
+    f"""select w.symbol, {day('w.trade_date')} as trade_date, signal_score, signal_direction, signal_state, signal_market_state, base_target, signal_confidence
+    from w left join (select symbol, trade_date, {_SIGNAL} from ss where s is not null) z on z.symbol = w.symbol and z.trade_date = w.trade_date""",
+    **_SIG,
+)

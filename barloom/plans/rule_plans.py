@@ -213,15 +213,18 @@ def _(spark, sf):
     return R.confirmation(_state_inputs(spark, sf)).select("symbol", "trade_date", "dif_quadrant", "confirmation", "state_cap")
 
 
+_TARGETS = f"""select *, ({_CAP}) as cap, case when sc <= -0.6 then 0 when sc <= -0.35 then 10 when sc <= -0.15 then 20 when sc <= 0.1 then 30 when sc <= 0.3 then 45 when sc <= 0.55 then 60 else 80 end as bt from (
+            select *, greatest(-1, least(1, 0.35 * greatest(-1, least(1, (x4 + x8) / 2 / 0.08)) + 0.3 * greatest(-1, least(1, (e4 + e8) / 2))
+              + 0.2 * greatest(-1, least(1, 0.4 * case when d > 0 then 1 else -1 end + 0.3 * case when f1 > 0 then 1 else -1 end + 0.3 * greatest(-1, least(1, coalesce(sl, 0) / 0.01))))
+              + 0.15 * greatest(-1, least(1, -p10 / 0.15 - greatest(-dd / 0.25, 0) * 0.5)))) as sc from cn)"""
+
+
 @REG.add(
     "position_targets",
     "S-07 F-13",
     with_views(
         f"""select {KEY}, {r('sc')} as strategy_score, bt::bigint as base_target, (round_even(least(bt, cap) / 5.0::double, 0) * 5)::bigint as final_target from (
-          select *, ({_CAP}) as cap, case when sc <= -0.6 then 0 when sc <= -0.35 then 10 when sc <= -0.15 then 20 when sc <= 0.1 then 30 when sc <= 0.3 then 45 when sc <= 0.55 then 60 else 80 end as bt from (
-            select *, greatest(-1, least(1, 0.35 * greatest(-1, least(1, (x4 + x8) / 2 / 0.08)) + 0.3 * greatest(-1, least(1, (e4 + e8) / 2))
-              + 0.2 * greatest(-1, least(1, 0.4 * case when d > 0 then 1 else -1 end + 0.3 * case when f1 > 0 then 1 else -1 end + 0.3 * greatest(-1, least(1, coalesce(sl, 0) / 0.01))))
-              + 0.15 * greatest(-1, least(1, -p10 / 0.15 - greatest(-dd / 0.25, 0) * 0.5)))) as sc from cn))""",
+          {_TARGETS})""",
         qd=_QUAD, cn=_CONF,
     ),
 )
@@ -229,7 +232,16 @@ def _(spark, sf):
     return R.position_target(_state_inputs(spark, sf)).select("symbol", "trade_date", "strategy_score", "base_target", "final_target")
 
 
-@REG.add("volatility_targeted_positions", "S-07")
+@REG.add(
+    "volatility_targeted_positions",
+    "S-07",
+    with_views(
+        f"""select t.symbol, {day('t.trade_date')} as trade_date, bt::bigint as base_target, cap::bigint as state_cap, (round_even(least(80, round_even(least(bt, cap) * greatest(0.75, least(1.25, 0.5 / greatest(coalesce(v.v26, 0.2), 1e-9))) / 5.0::double, 0) * 5) / 5.0::double, 0) * 5)::bigint as final_target
+        from ({_TARGETS}) t join (select symbol, trade_date, case when count(rt) over f = 26 then stddev_pop(rt) over f * sqrt(52) end as v26 from (select *, close / lag(close) over (partition by symbol order by trade_date) - 1 as rt from w)
+          window f as (partition by symbol order by trade_date rows between 25 preceding and current row)) v on v.symbol = t.symbol and v.trade_date = t.trade_date""",
+        qd=_QUAD, cn=_CONF,
+    ),
+)
 def _(spark, sf):
     w = I.volatility(V.bars_weekly(spark, sf), 26, 52, "pop", out="volatility_26").select("symbol", "trade_date", "volatility_26")
     out = R.position_target(_state_inputs(spark, sf).join(w, ["symbol", "trade_date"]), target_vol=0.5)
