@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.common import components, documents, slices, stored
+from barloom.llm.common import components, documents, forget, slices, stored
 from barloom.llm.shingles import mix, shingles
 
 #: Cells in which shingles are counted for the words' order, bits of the second sketch, classes remembered by a task,
@@ -160,7 +160,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, info: DataFrame, width: int, pe
                 on.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    return equal.union(both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long"))
+    found = stored(equal.union(both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long")))
+    forget(near)
+    return found
 
 
 def similar_groups(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 3) -> DataFrame:
@@ -171,7 +173,8 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = 5, rounds: i
     """
     rows = documents(docs)
     base = _profiles(rows, width, percent)
-    info = base.where("doc_id is not null and n > 0").select("doc_id", "n", "class", "bits").dropDuplicates(["doc_id"])
+    sizes = stored(base.select("doc_id", "n"))
+    info = stored(base.where("doc_id is not null and n > 0").select("doc_id", "n", "class", "bits").dropDuplicates(["doc_id"]))
     keyed = base.where("doc_id is not null and keys is not null").select("doc_id", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("size")).where("low < high")
     met = stored(met)
@@ -181,15 +184,18 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = 5, rounds: i
     first = base.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
     same = base.where("doc_id is not null and n > 0").select("doc_id", "class").join(first, "class").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     links = stored(same)
+    forget(met, base)
     asked = None
     turn = 0
     while turn <= rounds:
         roots = components(links)
-        now = buckets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        now = buckets.select("key", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         open_keys = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
         if turn:
             now = now.join(open_keys, "key")
         now = stored(now.select("key", "doc_id", "root"))
+        forget(buckets)
+        buckets = now  # a key whose members are in one component stays so
         if turn and now.isEmpty():
             break
         if turn < rounds:
@@ -206,12 +212,12 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = 5, rounds: i
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         asked = pairs if asked is None else asked.union(pairs)
-        new = stored(_verified(pairs, rows, info, width, percent))
+        new = _verified(pairs, rows, info, width, percent)
         links = links.union(new)
         turn = rounds if 0 < turn < rounds and pairs.isEmpty() else turn + 1  # centres that repeat say nothing of the other pairs
     roots = components(links)
     return (
-        base.select("doc_id", F.col("n").alias("n_shingles"))
+        sizes.select("doc_id", F.col("n").alias("n_shingles"))
         .join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     )
@@ -221,9 +227,10 @@ def one_of_each_group(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     """The rows of docs whose doc_id is the smallest of its group; rows with a null doc_id stay. Of rows that share a doc_id one stays."""
     groups = similar_groups(docs, percent, width)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)  # one plan at every size
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*columns)  # one plan at every size
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return left
     again = stored(again)
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return left.join(again, "doc_id", "left_anti").select(*columns).union(left.join(again, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"]))
