@@ -195,3 +195,37 @@ def test_slices_bound_the_bytes_of_a_piece():
     pieces = [p.to_pydict() for p in slices([batch, batch.slice(2, 4), batch.slice(0, 0)], limit=64)]
     assert [t for p in pieces for t in p["text"]] == texts + texts[2:6]
     assert all(len(p["text"]) == 1 or sum(len((t or "").encode()) for t in p["text"]) <= 64 for p in pieces)
+
+
+@pytest.mark.parametrize("letters", ["abcdefgh ", "aé日 z🙂"])
+def test_repeats_of_399_400_and_600_bytes(spark, letters):
+    """A repeated passage goes if, and only if, it has 400 bytes; where it stands in its text or in a word makes no difference."""
+    from barloom.llm import repeats
+
+    r = random.Random(11)
+
+    def noise(n):
+        return "".join(r.choice(letters) + r.choice("0123456789") for _ in range(n))
+
+    def passage(size):
+        text = noise(size)
+        while len(text.encode()) > size:
+            text = text[:-1]
+        return text + "_" * (size - len(text.encode()))
+
+    rows, want = [], {}
+    for i, size in enumerate((399, 400, 401, 600)):
+        p = passage(size)
+        for j, (before, after) in enumerate(((noise(120), noise(90)), ("", noise(200)), (noise(50) + "x", "y" + noise(50)))):
+            doc = 10 * i + j
+            rows.append((doc, f"{before}[{p}]{after}" if j == 1 else f"{before}{p}{after}"))
+            want[doc] = 0 if size < 400 else size
+    fifty = " ".join(noise(2)[:5] for _ in range(51))  # over 50 words, yet fewer than 400 bytes
+    rows += [(100 + j, noise(40) + fifty + noise(300)) for j in range(2)]
+    want |= {100: 0, 101: 0}
+    assert len(fifty.encode()) < 400 or "🙂" in letters
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400).collect()}
+    for doc, size in want.items():
+        if doc >= 100 and len(fifty.encode()) >= 400:
+            continue
+        assert got[doc] == (size, int(size > 0)), doc
