@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.scalar import as_col
@@ -224,59 +224,68 @@ def account_returns(snapshots: DataFrame, by: Sequence[str] = ("account_id",), t
     ).drop("_peak", "_first", "_dd")
 
 
-def _xirr(ts: pd.Series, vs: pd.Series, ending: pd.Series, years: pd.Series) -> pd.Series:
-    """Root of -sum(v * (1+r)^-t) + ending * (1+r)^-T for a batch of accounts at once.
+def money_weighted(t: np.ndarray, v: np.ndarray, valued: np.ndarray, ending: np.ndarray, rows: int = 1 << 18) -> np.ndarray:
+    """For each valuation day the rate at which the flows up to it grow to the ending value; NaN where there is none.
 
-    The upper rate doubles up to 32 times until the sign changes, then 96 halvings.
+    ``t``: days of the flows, ascending. The upper rate doubles up to 32 times until the sign changes, then 96 halvings.
+    Valuation days are solved together, as many at a time as keep (days x flows) within ``rows``.
     """
-    sizes = np.array([len(t) for t in ts])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    t, v = np.concatenate(ts.to_numpy()), np.concatenate(vs.to_numpy())
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    e, big = ending.to_numpy(dtype=float), years.to_numpy(dtype=float)
-
-    def npv(rate: np.ndarray) -> np.ndarray:
-        ln = np.log1p(rate)
-        with np.errstate(over="ignore", invalid="ignore"):
-            return -np.add.reduceat(v * np.exp(-ln[owner] * t), starts) + e * np.exp(-ln * big)
-
-    low, high = np.full(len(sizes), -0.999999), np.full(len(sizes), 1.0)
-    sign = np.sign(npv(low))
-    found = sign * np.sign(npv(high)) <= 0
-    for _ in range(32):
-        if found.all():
-            break
-        high = np.where(found, high, high * 2.0)
-        found |= sign * np.sign(npv(high)) <= 0
-    for _ in range(96):
-        mid = (low + high) / 2.0
-        left = sign * np.sign(npv(mid)) <= 0
-        low, high = np.where(left, low, mid), np.where(left, mid, high)
-    return pd.Series(np.where(found, (low + high) / 2.0, np.nan))
+    out = np.full(len(valued), np.nan)
+    step = max(1, rows // max(1, len(t)))
+    for at in range(0, len(valued), step):
+        part = slice(at, at + step)
+        seen = t[None, :] <= valued[part, None]
+        on = np.flatnonzero(seen.any(axis=1))
+        if not len(on):
+            continue
+        amounts, e, years, big = np.where(seen[on], v[None, :], 0.0), ending[part][on], (t - t[0]) / 365.0, (valued[part][on] - t[0]) / 365.0
+
+        def npv(rate: np.ndarray) -> np.ndarray:
+            ln = np.log1p(rate)
+            with np.errstate(over="ignore", invalid="ignore"):
+                return -(amounts * np.exp(-ln[:, None] * years[None, :] * (amounts != 0))).sum(axis=1) + e * np.exp(-ln * big)
+
+        low, high = np.full(len(on), -0.999999), np.full(len(on), 1.0)
+        sign = np.sign(npv(low))
+        found = sign * np.sign(npv(high)) <= 0
+        for _ in range(32):
+            if found.all():
+                break
+            high = np.where(found, high, high * 2.0)
+            found |= sign * np.sign(npv(high)) <= 0
+        for _ in range(96):
+            mid = (low + high) / 2.0
+            left = sign * np.sign(npv(mid)) <= 0
+            low, high = np.where(left, low, mid), np.where(left, mid, high)
+        out[at + on] = np.where(found, (low + high) / 2.0, np.nan)
+    return out
 
 
 def mwr(cashflows: DataFrame, endings: DataFrame, by: Sequence[str] = ("account_id",), min_days: int = 30) -> DataFrame:
     """Money-weighted return of every (account, valuation date): the rate at which dated contributions grow to the ending value.
 
-    Flows of a day are summed first, which leaves the equation unchanged and
-    bounds the array per account by the calendar; the root search then runs on
-    Arrow batches of accounts, vectorised over all of their flows.
+    Flows of a day are summed first, which leaves the equation unchanged and bounds an account's flows by the calendar.
+    An account's flows and its valuation dates meet once, side by side; no date carries a copy of the flows.
     cashflows: by, flow_date, amount. endings: by, valuation_date, ending_value.
     """
-    daily = cashflows.groupBy(*by, "flow_date").agg(F.sum("amount").alias("amount")).where("amount <> 0")
-    flows = daily.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("flow_date", "amount"))).alias("_all"))
-    j = endings.join(flows, list(by))
-    j = j.withColumn("_f", F.filter("_all", lambda x: x["flow_date"] <= F.col("valuation_date"))).where(F.size("_f") > 0)
-    j = j.withColumn("_start", F.try_element_at("_f", F.lit(1))["flow_date"])
-    solve = F.pandas_udf(_xirr, "double")
-    root = solve(
-        F.transform("_f", lambda x: F.date_diff(x["flow_date"], F.col("_start")) / 365.0), F.transform("_f", lambda x: x["amount"].cast("double")),
-        F.col("ending_value").cast("double"), F.date_diff("valuation_date", "_start") / 365.0,
-    )
-    solved = j.withColumn("_root", root)
-    ready = (F.date_diff("valuation_date", "_start") >= min_days) & ~F.isnan("_root")
-    known = solved.select(*by, "valuation_date", F.when(ready, F.col("_root")).alias("money_weighted_return"))
-    return endings.select(*by, "valuation_date").join(known, [*by, "valuation_date"], "left")
+    keys = list(by)
+    epoch = F.lit("1970-01-01").cast("date")
+    flows = cashflows.groupBy(*keys, F.date_diff("flow_date", epoch).alias("day")).agg(F.sum(F.col("amount").cast("double")).alias("amount")).where("amount <> 0")
+    asked = endings.select(*keys, "valuation_date", F.date_diff("valuation_date", epoch).alias("day"), F.col("ending_value").cast("double").alias("ending_value"))
+    kinds = ", ".join(f"`{k}` {endings.schema[k].dataType.simpleString()}" for k in keys)
+
+    def solve(key, past: pa.Table, ends: pa.Table) -> pa.Table:
+        past = past.sort_by("day")
+        t, v = past.column("day").to_numpy(), past.column("amount").to_numpy()
+        days = ends.column("day").to_numpy()
+        rate = money_weighted(t, v, days, ends.column("ending_value").to_numpy()) if len(t) else np.full(len(days), np.nan)
+        rate = np.where(days - (t[0] if len(t) else 0) >= min_days, rate, np.nan)
+        names = [pa.array([k.as_py()] * len(days), k.type) for k in key]
+        return pa.table([*names, ends.column("valuation_date"), pa.array(rate, pa.float64(), mask=np.isnan(rate))], names=[*keys, "valuation_date", "money_weighted_return"])
+
+    # names of their own, as both sides may come from one frame
+    grouped = flows.toDF(*flows.columns).groupBy(*keys).cogroup(asked.toDF(*asked.columns).groupBy(*keys))
+    return grouped.applyInArrow(solve, f"{kinds}, valuation_date date, money_weighted_return double")
 
 
 def dca_benchmark(contributions: DataFrame, prices: DataFrame, lot: int | None = None, fees: Fees = Fees(), by: Sequence[str] = HOLDING) -> DataFrame:

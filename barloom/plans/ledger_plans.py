@@ -254,7 +254,8 @@ def _(spark, sf):
     with_views(
         f"""select account_id, {day('v')} as valuation_date, case when t * 365 >= 29.5 and b > 0 then {r('(lo + hi) / 2', 5)} end as money_weighted_return from bis where i = 96""",
         fl="select o_custkey as account_id, o_orderdate::date as d, sum(o_totalprice) as a from orders group by all",
-        ac="select account_id, min(d) as s, date '2001-12-31' as v, sum(a) * 1.5 as e, (date '2001-12-31' - min(d)) / 365.0::double as t, list((d - s0) / 365.0::double) as ts, list(a) as am from (select *, min(d) over (partition by account_id) as s0 from fl) group by account_id",
+        vd="select unnest([date '1994-06-30', date '1996-12-31', date '1998-12-31', date '2001-12-31']) as v",
+        ac="select account_id, min(d) as s, v, sum(a) * 1.5 as e, (v - min(d)) / 365.0::double as t, list((d - s0) / 365.0::double) as ts, list(a) as am from (select *, min(d) over (partition by account_id) as s0 from fl) join vd on d <= v group by account_id, v",
         br="select *, (select min(pow(2.0, k)) from range(0, 33) z(k) where list_sum([-am[j] * exp(-ln(1 + pow(2.0, k)) * ts[j]) for j in range(1, len(am) + 1)]) + e * exp(-ln(1 + pow(2.0, k)) * t) <= 0) as b from ac",
         bis="""
   select account_id, v, t, e, ts, am, b, 0 as i, -0.999999::double as lo, coalesce(b, 1.0)::double as hi from br
@@ -267,7 +268,8 @@ def _(spark, sf):
     from barloom.functions.scalar import cut
 
     c = V.cashflows(spark, sf)
-    e = c.groupBy("account_id").agg((F.sum("amount") * 1.5).alias("ending_value")).withColumn("valuation_date", F.lit("2001-12-31").cast("date"))
+    dates = F.explode(F.array(*[F.lit(d).cast("date") for d in ("1994-06-30", "1996-12-31", "1998-12-31", "2001-12-31")]))
+    e = c.withColumn("valuation_date", dates).where("flow_date <= valuation_date").groupBy("account_id", "valuation_date").agg((F.sum("amount") * 1.5).alias("ending_value"))
     m = LG.mwr(c, e)
     return m.withColumn("money_weighted_return", cut("money_weighted_return", 5))
 
