@@ -76,6 +76,7 @@ class Scanner:
         self.words = {name: WORD.findall(text.lower()) for name, text in sorted(templates.items())}
         if not self.words or not all(self.words.values()):
             raise ValueError("templates need words")
+        self.counts = {name: Counter(words) for name, words in self.words.items()}
         self.reach = max(map(len, templates.values())) * 2
         self.markers = ahocorasick.Automaton()
         for own in self.words.values():
@@ -129,11 +130,10 @@ class Scanner:
         ends = ends[np.argsort(best[ends], kind="stable")]
         return [*((n - int(best[e]) % one, int(e)) for e in ends), (0, n)]
 
-    def confirm(self, block: str, name: str):
-        """(differences, start, stop, share of words covered, missing, added) where the block words the template closely enough."""
-        at = list(WORD.finditer(block))
-        theirs, own = [m.group().lower() for m in at], self.words[name]
-        if (Counter(own) & Counter(theirs)).total() < self.cover * len(own) - 1e-9:
+    def confirm(self, at: list[re.Match], theirs: list[str], have: Counter, name: str):
+        """(differences, start, stop, share of words covered, missing, added) where a block's words hold the template closely enough."""
+        own = self.words[name]
+        if sum(min(n, have[w]) for w, n in self.counts[name].items()) < self.cover * len(own) - 1e-9:
             return None
         return next((x for low, high in self.windows(theirs, own) if (x := self.aligned(at, theirs, own, low, high))), None)
 
@@ -155,17 +155,39 @@ class Scanner:
             return None
         return told, at[first].start(), at[last - 1].end(), 1 - missing / len(own), missing, added
 
-    def scan(self, text: str) -> list[tuple]:
-        out, todo = [], self.blocks(text)
+    def notices(self, text: str, start: int, stop: int) -> list[tuple]:
+        """Notices between two places: the one with the fewest differences first, then those in what is left on both sides."""
+        out, todo = [], [(start, stop)]
         while todo:
             start, stop = todo.pop()
             block = text[start:stop]
-            found = [(c, n, name) for n, name in self.ranked(block) if (c := self.confirm(block, name))]
+            at = list(WORD.finditer(block))
+            theirs = [m.group().lower() for m in at]
+            have = Counter(theirs)
+            found = [(c, name) for name in self.words if (c := self.confirm(at, theirs, have, name))]
             if not found:
                 continue
-            (told, a, b, covered, missing, added), n, name = min(found, key=lambda x: (x[0][4] + x[0][5], -x[1], x[2]))
-            out.append((start + a, start + b, name, n, covered, missing, added, told))
+            saved = dict((name, n) for n, name in self.ranked(block))
+            (told, a, b, covered, missing, added), name = min(found, key=lambda x: (x[0][4] + x[0][5], -saved[x[1]], x[1]))
+            out.append((start + a, start + b, name, saved[name], covered, missing, added, told))
             todo += [(x, y) for x, y in ((start, start + a), (start + b, stop)) if y - x > 8]
+        return out
+
+    def scan(self, text: str) -> list[tuple]:
+        """Blocks are read in overlapping stretches of twice the reach, so the time is in proportion to the text.
+
+        No notice is longer than the reach, so one that starts in the first half of a stretch lies in it as a whole; what
+        starts later is left to the next stretch.
+        """
+        out = []
+        for start, stop in self.blocks(text):
+            while start < stop:
+                end = self.edge(text, min(stop, start + 2 * self.reach), 1)
+                half = stop if end >= stop else self.edge(text, start + self.reach, -1)
+                half = half if half > start else end  # one word longer than the reach
+                kept = [x for x in self.notices(text, start, end) if x[0] < half]
+                out += kept
+                start = max([half, *(x[1] for x in kept)])
         return sorted(out)
 
 

@@ -229,3 +229,24 @@ def test_repeats_of_399_400_and_600_bytes(spark, letters):
         if doc >= 100 and len(fifty.encode()) >= 400:
             continue
         assert got[doc] == (size, int(size > 0)), doc
+
+
+def test_license_notices_in_dense_long_texts_take_linear_time():
+    import time
+
+    from barloom.llm import licenses
+
+    scanner = licenses._scanner(tuple(sorted(licenses.TEMPLATES.items())), 0.8, 3)
+    header = licenses.TEMPLATES["MPL-2.0-header"]
+    times = []
+    for n in (60, 480):
+        text = (header + "\n") * n
+        began = time.process_time()
+        found = scanner.scan(text)
+        times.append(time.process_time() - began)
+        assert [(x[0], x[1] - x[0], x[2], x[7]) for x in found] == [(i * (len(header) + 1), len(header.rstrip("./")), "MPL-2.0-header", []) for i in range(n)]
+    assert times[1] < 8 * times[0] * 2.5
+    every = "\n".join(licenses.TEMPLATES.values())
+    names = sorted(x[2] for x in scanner.scan("\n".join([every] * 12)))
+    assert names == sorted(list(licenses.TEMPLATES) * 12)
+    assert scanner.scan("licensed" * 4000 + " " + header)[0][2] == "MPL-2.0-header"
