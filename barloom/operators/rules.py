@@ -363,7 +363,7 @@ def daily_correction(df: DataFrame) -> DataFrame:
 
 # ---- quadrant, confirmation, position target ------------------------------------------------
 
-# Score -> base position, and position caps by confirmation.
+# Score -> base position (TOP_POSITION above the last bound), position caps by confirmation, weights of the target score.
 SCORE_POSITIONS = ((-0.60, 0), (-0.35, 10), (-0.15, 20), (0.10, 30), (0.30, 45), (0.55, 60))
 TOP_POSITION = 80
 STATE_CAPS = {
@@ -537,6 +537,7 @@ def conflict_state(local_up, ai_up) -> dict[str, Column]:
     return {"consensus": consensus, "conflict": conflict, "conflict_score": F.abs(a - b)}
 
 
+# States in which a batch is over.
 TERMINAL = ("CANCELLED", "EXPIRED", "SUPERSEDED", "EXECUTED_OBSERVED")
 
 
