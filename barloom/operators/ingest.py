@@ -172,8 +172,9 @@ def group_hash(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Seq
 
 
 def table_fingerprint(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Row count and order-free XOR hash per group; combines map-side."""
-    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*cols)).alias("fingerprint"))
+    """Row count and order-free XOR of the rows' content hashes (60 bits of each) per group; combines map-side."""
+    bits = F.conv(F.substring(payload_hash(cols), 1, 15), 16, 10).cast("long")
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.bit_xor(bits).alias("fingerprint"))
 
 
 def ingest_gate(

@@ -326,9 +326,10 @@ def _(spark, sf):
 @REG.add(
     "table_fingerprint",
     "A-14",
+    """select o_orderpriority, count(*) as "rows", bit_xor(('0x' || sha256('o_custkey|' || o_custkey || '|o_orderkey|' || o_orderkey || '|o_orderstatus|' || o_orderstatus)[1:15])::bigint) as fingerprint from orders group by o_orderpriority""",
 )
 def _(spark, sf):
-    return G.table_fingerprint(V.table(spark, sf, "orders"), ["o_orderstatus"], ["o_orderkey", "o_custkey", "o_totalprice"])
+    return G.table_fingerprint(V.table(spark, sf, "orders"), ["o_orderpriority"], ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
 @REG.add(

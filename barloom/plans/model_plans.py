@@ -578,7 +578,19 @@ def _(spark, sf):
     return G.weight_gate(w, scores, ["symbol"]).select("symbol", "matched", "excess", "participation_diff", "degraded", "weight_cap")
 
 
-@REG.add("behavior_differences", "M-25 J-12")
+@REG.add(
+    "behavior_differences",
+    "M-25 J-12",
+    with_views(
+        f"""select symbol, {r('fr')} as forecast_ratio, {r('sr')} as score_ratio, {r('br')} as base_ratio, {r('tr')} as target_ratio, {r('gr')} as signal_ratio, {r('dr')} as trade_ratio, {r('er')} as equity_ratio, n as anchors,
+          (tr = 0 and gr = 0 and dr = 0 and er = 0 and worst < 0.01)::bigint as identical, (fr >= 0.1 or sr >= 0.1 or br >= 0.1 or tr >= 0.05 or dr >= 0.03)::bigint as passes_prefilter from (
+          select symbol, count(*) as n, avg((abs(ca - cb) > 1e-4)::int) as fr, avg((abs(ra - rb) > 1e-4)::int) as sr, avg((round(posa, -1) <> round(posb, -1))::int) as br, avg((round(posa / 5) <> round(posb / 5))::int) as tr,
+            avg((sign(ra) <> sign(rb))::int) as gr, avg((round(posa) <> round(posb))::int) as dr, avg((abs(ra - rb) / greatest(abs(1 + ra), abs(1 + rb), 1e-9) > 1e-9)::int) / 2 as er, max(abs(ra - rb)) as worst
+          from (select wi.symbol, wi.ra, wi.rb, wi.posa, wi.posb, x.p50 as ca, y.p50 as cb from wi join sg s on s.symbol = wi.symbol and s.rn = wi.window_start
+            join fc x on x.symbol = wi.symbol and x.anchor = s.trade_date and x.h = 8 join fc26 y on y.symbol = wi.symbol and y.anchor = s.trade_date and y.h = 8 where x.actual is not null) group by symbol)""",
+        sg=_SG, wi=_WINDOWS,
+    ),
+)
 def _(spark, sf):
     w = _two_accounts(spark, sf)
     f = _paired(spark, sf).where("h = 8").select("symbol", "anchor", "champion_p50", "candidate_p50")
