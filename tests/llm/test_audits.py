@@ -250,3 +250,41 @@ def test_license_notices_in_dense_long_texts_take_linear_time():
     names = sorted(x[2] for x in scanner.scan("\n".join([every] * 12)))
     assert names == sorted(list(licenses.TEMPLATES) * 12)
     assert scanner.scan("licensed" * 4000 + " " + header)[0][2] == "MPL-2.0-header"
+
+
+def test_toxicity_scores_equal_votes_over_all_examples(spark):
+    """Scores, predictions and evidence against cosines with every example; very long and empty texts included."""
+    from barloom.llm import toxicity
+
+    r = random.Random(21)
+    plain = ["".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 7))) for _ in range(120)]
+    bad = ["vilely", "idiotic", "scumlike", "filthy"]
+    rows, labels = [], []
+    for i in range(500):
+        words = [r.choice(plain) for _ in range(r.randint(3, 40))]
+        toxic = i % 4 == 0
+        if toxic:
+            words += [r.choice(bad) for _ in range(r.randint(1, 3))]
+        rows.append((i, " ".join(r.sample(words, len(words)))))
+        labels.append((i, int(toxic) if i % 50 else 1 - int(toxic)))
+    rows += [(600, None), (601, ""), (602, "vilely idiotic"), (603, " ".join(r.choice(plain) for _ in range(60_000)) + " filthy"), (604, "VILELY " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = toxicity.fit(docs.where("doc_id < 500"), spark.createDataFrame(labels, "doc_id long, toxic int"), most_examples=300)
+    vectors = np.zeros((len(index.ids), len(index.vocabulary)))
+    for t, (entries, weights) in enumerate(index.postings):
+        vectors[entries, t] = weights
+    assert len(index.ids) > 20 and np.allclose(np.linalg.norm(vectors, axis=1), 1)
+    for x in toxicity.score(docs, index).collect():
+        counts = index.count(dict(rows)[x.doc_id] or "")
+        if not counts:
+            assert x.score == index.bare and x.evidence == []
+            continue
+        at, n = (np.array(c) for c in zip(*sorted(counts.items())))
+        query = np.zeros(len(index.vocabulary))
+        query[at] = index.vector(at, n.astype(float))
+        cosine = vectors @ query
+        top = sorted((-round(c, 9), i) for i, c in enumerate(cosine) if c > 0)[:15]
+        votes = [max(0.0, min(1.0, cosine[i])) ** 4 for _, i in top]
+        want = (sum(v * index.positive[i] for v, (_, i) in zip(votes, top)) + 0.25 * index.rate) / (sum(v * index.total[i] for v, (_, i) in zip(votes, top)) + 0.25)
+        assert abs(x.score - want) < 1e-9 and x.predicted == int(x.score >= 0.7), x.doc_id
+        assert x.evidence == [int(index.ids[i]) for _, i in top[:3]]
