@@ -241,18 +241,22 @@ def _sorted_texts(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
     return table, [x.encode() for x in table.column("text").to_pylist()]
 
 
+#: Column that holds a document's block; other columns keep their names.
+BLOCK = "__block"
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, k: int = 64, block_bytes: int = 8 << 20) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary): what is left of each text."""
     if not 8 <= k <= length < 1 << (POSITION_BITS - 1):
         raise ValueError("a k-gram has 8 bytes at least and fits the length")
     spark = docs.sparkSession
     results = ["n_bytes", "n_removed", "n_spans", "kept"]
-    rows = docs.drop(*results, "block").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.drop(*results).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     size = F.octet_length("text").cast("long")
     short = rows.where(size < length).withColumns({"n_bytes": size, "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": F.encode("text", "utf-8")})
     long = rows.where(size >= length)
     blocks = max(1, -(-int(long.agg(F.sum(size)).first()[0] or 0) // block_bytes))
-    long = long.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    long = long.withColumn(BLOCK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def count(batches):
         """Distinct k-gram hashes of a batch's anchors, their number, and the k-grams' first bytes for the splitters."""
@@ -264,7 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 64, block_bytes:
                 one, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(one["block"]), pa.array(one["hash"]), pa.array(one["start"]), pa.array(n.astype(np.int64))], names=["block", "hash", "start", "n"])
 
-    met = stored(long.select("block", "text").mapInArrow(count, "block int, hash long, start long, n long"))
+    met = stored(long.select(F.col(BLOCK).alias("block"), "text").mapInArrow(count, "block int, hash long, start long, n long"))
     often = met.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     wanted = stored(met.join(often, "hash").groupBy("block", "hash").agg(F.min("start").alias("start")))
     entries = wanted.count()
@@ -290,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 64, block_bytes:
         places = zstandard.compress(struct.pack("<I", len(order)) + np.array([len(found[x]) for x in order], "<i4").tobytes() + np.array([y for x in order for y in found[x]], "<i4").tobytes(), 3)
         return pa.table({"range": pa.array([*parts, -1], pa.int32()), "block": pa.array([block] * (len(parts) + 1), pa.int32()), "run": pa.array([*(front_code(p) for p in parts.values()), places], pa.binary())})
 
-    runs = stored(long.groupBy("block").cogroup(wanted.select("block", "hash").groupBy("block")).applyInArrow(sort, "range int, block int, run binary"))
+    runs = stored(long.groupBy(BLOCK).cogroup(wanted.select("block", "hash").groupBy("block")).applyInArrow(sort, "range int, block int, run binary"))
 
     def sweep(_key, table):
         """Merges a range's runs and resolves each group of suffixes that share the k-gram."""
@@ -319,7 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 64, block_bytes:
 
     spans = runs.where("range >= 0").groupBy("range").applyInArrow(sweep, "block int, entry int, near int, far int")
     told = runs.where("range < 0").selectExpr("block", "run", "cast(null as int) entry", "cast(null as int) near", "cast(null as int) far").union(spans.selectExpr("block", "cast(null as binary)", "entry", "near", "far"))
-    names = [c for c in long.columns if c != "block"]
+    names = [c for c in long.columns if c != BLOCK]
     schema = T.StructType([*[long.schema[n] for n in names], T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def remove(_key, docs_table, about):
@@ -356,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 64, block_bytes:
             table = table.append_column(name, column)
         return table
 
-    left = long.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, schema)
+    left = long.groupBy(BLOCK).cogroup(told.groupBy("block")).applyInArrow(remove, schema)
     return short.select(*names, *results).union(left.select(*names, *results))
 
 

@@ -47,14 +47,14 @@ def lookup_table(shards: Sequence[str], size: int = 65_537, weights: Sequence[in
 
 
 def place(rows: DataFrame, keys: Sequence[str], shards: Sequence[str], size: int = 65_537, weights: Sequence[int] | None = None) -> DataFrame:
-    """Adds ``slot`` and ``shard`` (replacing columns of these names).
+    """Adds ``slot`` and ``shard`` (replacing columns of these names, which may be keys all the same).
 
     The table that is broadcast has ``size`` rows whatever the input, so its size is bounded. Rows with equal keys go to
     one shard; a null key is a value like any other; an empty input gives no rows.
     """
     spark = rows.sparkSession
-    names = [(i, int(s), shards[s]) for i, s in enumerate(lookup_table(shards, size, weights))]
-    table = spark.createDataFrame(names, "slot int, shard_no int, shard string")
+    names = [(i, shards[s]) for i, s in enumerate(lookup_table(shards, size, weights))]
+    table = spark.createDataFrame(names, "__slot int, __shard string")
     slot = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(size)).cast("int")
-    rest = rows.drop("slot", "shard_no", "shard")
-    return rest.withColumn("slot", slot).join(F.broadcast(table), "slot").select(*[f"`{c}`" for c in rest.columns], "slot", "shard")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("slot", "shard")]
+    return rows.withColumn("__slot", slot).join(F.broadcast(table), "__slot").select(*kept, F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))

@@ -288,3 +288,21 @@ def test_toxicity_scores_equal_votes_over_all_examples(spark):
         want = (sum(v * index.positive[i] for v, (_, i) in zip(votes, top)) + 0.25 * index.rate) / (sum(v * index.total[i] for v, (_, i) in zip(votes, top)) + 0.25)
         assert abs(x.score - want) < 1e-9 and x.predicted == int(x.score >= 0.7), x.doc_id
         assert x.evidence == [int(index.ids[i]) for _, i in top[:3]]
+
+
+def test_repeats_keep_a_users_columns_and_rows_without_an_id(spark):
+    from barloom.llm import repeats
+
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = text(450)
+    rows = [(None, text(300) + shared + text(200), f"b{i}", i) for i in range(30)] + [(1, text(900), "x", 30), (2, "short", None, 31)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, block string, n long").repartition(3)
+    got = {x.n: x for x in repeats.remove_repeats(df, block_bytes=2000).collect()}
+    assert len(got) == len(rows)
+    for d, t, b, n in rows:
+        x = got[n]
+        assert (x.doc_id, x.block, x.n_bytes) == (d, b, len(t))
+        assert 450 <= x.n_removed <= 460 if n < 30 else x.n_removed == 0  # letters beside the passage may agree by chance
+    dotted = repeats.without_repeats(df.withColumn("a.b", F.col("n")))
+    assert dotted.columns == [*df.columns, "a.b"] and dotted.count() == len(rows)

@@ -117,6 +117,8 @@ def test_placement_of_rows(spark):
     got = sharding.place(df, ["doc_id"], ["p", "q"], 101).collect()
     assert len(got) == 4 and len({r.shard for r in got if r.doc_id == 1}) == 1 and all(r.shard in "pq" for r in got)
     assert sharding.place(df.where("false"), ["doc_id"], ["p", "q"], 101).count() == 0
+    named = sharding.place(df.withColumn("shard_no", F.lit(7)).withColumn("a.b", F.lit(1)), ["shard", "slot"], ["p", "q"], 101)
+    assert named.columns == ["doc_id", "shard_no", "a.b", "slot", "shard"] and {r.shard_no for r in named.collect()} == {7}
 
 
 def test_components(spark):
