@@ -166,8 +166,7 @@ def mark_accounts(ledger: DataFrame, prices: DataFrame, order: Sequence[str], by
     An account's days are its trade days and, from its first trade on, the sessions of every symbol it ever trades. The
     value of a holding changes by holding * price change at a session and by holding change * last price at a trade, so
     only changes are formed: each run of an unchanged holding meets the sessions it spans, month by month, in an
-    equi-join, the changes are summed per account and day, and running sums give the states. No state is looked up per
-    day and prices carry over by themselves where a symbol has no session. Buys are paid by contributions, sale proceeds
+    equi-join, and running sums of the changes over an account's days give the states. No state is looked up per day and prices carry over by themselves where a symbol has no session. Buys are paid by contributions, sale proceeds
     stay in the account as cash; a holding without a price so far is worth nothing.
     """
     account = by[0]
@@ -188,9 +187,11 @@ def mark_accounts(ledger: DataFrame, prices: DataFrame, order: Sequence[str], by
     traded = traded.select(account, F.col("trade_date").alias("snapshot_date"), (F.col("d_holding") * F.coalesce("close", F.lit(0.0))).alias("d_market_value"), *[c for c in steps.columns if c.startswith("d_")])
     changes = marked.unionByName(traded, allowMissingColumns=True)
     names = [c.removeprefix("d_") for c in traded.columns if c.startswith("d_")]
-    days = changes.groupBy(account, "snapshot_date").agg(*[F.coalesce(F.sum(f"d_{c}"), F.lit(0.0)).alias(f"d_{c}") for c in names])
-    upto = ordered([account], "snapshot_date").rowsBetween(Window.unboundedPreceding, 0)
-    snap = days.select(account, "snapshot_date", F.col("d_total_contribution").alias("external_cash_flow"), *[F.sum(f"d_{c}").over(upto).alias(c) for c in names])
+    # Sums up to a day take in all of the day's changes, so the last row of a day is its snapshot: one shuffle, one sort.
+    upto = ordered([account], "snapshot_date")
+    sums = [F.coalesce(F.sum(f"d_{c}").over(upto), F.lit(0.0)).alias(c) for c in names]
+    days = changes.select(account, "snapshot_date", *sums, F.lead("snapshot_date").over(upto).alias("_next")).where("_next is null or _next <> snapshot_date").drop("_next")
+    snap = days.withColumn("external_cash_flow", F.col("total_contribution") - F.coalesce(F.lag("total_contribution").over(upto), F.lit(0.0)))
     snap = snap.withColumn("market_value", F.when(F.col("holding") == 0, 0.0).otherwise(F.col("market_value")))
     return snap.withColumns({"total_assets": F.col("cash_balance") + F.col("market_value"), "unrealized_pnl": F.col("market_value") - F.col("total_cost")})
 
