@@ -17,13 +17,13 @@ def _positive_finite(c: str) -> Column:
     return F.coalesce(col.isNotNull() & ~F.isnan(col) & (col > 0) & (col < float("inf")), F.lit(False))
 
 
-def ohlc_valid(tolerant: bool = False) -> Column:
+def ohlc_valid(tolerant: bool = False, relative: float = 1e-12) -> Column:
     """Positive finite prices with high and low containing open and close.
 
-    ``tolerant`` forgives machine rounding: 1e-9 or 1e-12 of the price scale.
+    ``tolerant`` forgives machine rounding: 1e-9 or ``relative`` of the price scale, whichever is more.
     """
     positive = _positive_finite("open") & _positive_finite("high") & _positive_finite("low") & _positive_finite("close")
-    slack = F.greatest(F.lit(1e-9), F.greatest(F.lit(1.0), *[F.col(c) for c in OHLC]) * 1e-12) if tolerant else F.lit(0.0)
+    slack = F.greatest(F.lit(1e-9), F.greatest(F.lit(1.0), *[F.col(c) for c in OHLC]) * relative) if tolerant else F.lit(0.0)
     upper, lower = F.greatest("open", "close"), F.least("open", "close")
     contains = (
         (F.col("high") + slack >= upper) & (F.col("low") - slack <= lower) & (F.col("high") + slack >= F.col("low"))
