@@ -25,8 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that also start elsewhere; a document stays even if nothing is left of it."""
-    return repeats.without_repeats(docs)
+    """Texts without the strings of 400 bytes and the passages of over 50 words that also start elsewhere; a document stays even if nothing is left of it."""
+    return repeats.without_repeats(docs, words=51)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

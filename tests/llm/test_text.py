@@ -399,6 +399,31 @@ def test_repeats_of_nothing_and_columns(spark):
     assert left.columns == df.columns and {x.doc_id: (x.text, x.n_chars) for x in left.collect()} == {1: ("xx  yy", 6), 2: ("zz", 2), 3: ("short", 5)}
 
 
+def test_passages_of_words_go_however_few_bytes_they_have(spark):
+    r = random.Random(8)
+    plain = ["".join(r.choice("abcdefghé") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    words = lambda n: [r.choice(plain) for _ in range(n)]
+    lines = [words(n) for n in (9, 10, 11, 30)]
+    rows = [(i, words(r.randint(0, 40)) + lines[i % 4] + words(r.randint(0, 40))) for i in range(60)]
+    rows += [(70, lines[2] + lines[3] + lines[2]), (71, lines[1]), (71, lines[1]), (None, lines[0]), (72, ["a"] * 25), (73, [])]
+    seen = collections.Counter(tuple(w[i : i + 10]) for _, w in rows for i in range(len(w) - 9))
+    space = [" ", "\n", "\t ", "  "]
+    given, want = [], []
+    for d, w in rows:
+        gone = [any(seen[tuple(w[j : j + 10])] > 1 for j in range(max(0, i - 9), i + 1) if j + 10 <= len(w)) for i in range(len(w))]
+        text, left = "", ""
+        for i, x in enumerate(w):
+            gap = r.choice(space) if i else r.choice(["", " "])
+            text += gap + x
+            left += ("" if i and gone[i] and gone[i - 1] else gap) + ("" if gone[i] else x)
+        given.append((d, text))
+        want.append((d, left))
+    got = repeats.without_repeats(frame(spark, given), 400, words=10, block_bytes=3000).collect()
+    assert null_first((x.doc_id, x.text) for x in got) == null_first(want)
+    plain_only = repeats.without_repeats(frame(spark, given), 400).collect()
+    assert null_first((x.doc_id, x.text) for x in plain_only) == null_first(given)
+
+
 def test_loser_tree_merges_sorted_runs():
     r = random.Random(2)
     runs = [sorted("".join(r.choice("ab") for _ in range(r.randint(1, 12))).encode() for _ in range(r.randint(0, 30))) for _ in range(9)]
