@@ -180,6 +180,32 @@ def test_lm_base_is_exact_and_the_model_is_a_distribution(spark):
     assert lm.score(frame(spark, []), training, RANKS, PATTERN).count() == 0
 
 
+def test_lm_learns_from_every_training_text(spark):
+    """The texts that tell how words follow each other are those a sample of 1,500 by hash of the id would leave out."""
+    r = random.Random(3)
+    hashed = sorted((x.h, x.id) for x in spark.range(2600).where("crc32(cast(id as string)) % 5 != 1").select("id", F.xxhash64("id").alias("h")).collect())
+    plain = {i for _, i in hashed[:1500]}
+    text = lambda i: " ".join(["only"] * 8 if i in plain else [w for _ in range(30) for w in (r.choice(("red", "blue")), r.choice(("dog", "cat")))])
+    got = lm.score(frame(spark, [(i, text(i)) for i in range(2600)]), ~toxicity.held_out(F.col("doc_id"), 5, 1), RANKS, PATTERN).collect()
+    told = [x for x in got if not x.training]
+    assert len(told) > 400 and sum(x.score > x.base_score for x in told) / len(told) > 0.95
+    assert sum(x.score - x.base_score for x in told) / sum(x.n_tokens for x in told) > 0.2
+
+
+def test_lm_unseen_words_keep_their_counted_probability(spark):
+    rows = [(i, "one two three " * 20) for i in range(60)] + [(i, "xq zv " * 40) for i in range(60, 120)]
+    got = lm.score(frame(spark, rows), F.col("doc_id") < 60, RANKS, PATTERN).where("not training").collect()
+    end = [x.score - x.base_score for x in got]
+    assert len(got) == 60 and all(x.n_known == 1 for x in got) and max(end) - min(end) < 1e-6 and min(end) > -4  # the end alone is judged
+
+
+def test_lm_words_have_all_their_subwords():
+    tokens = [b"internationalisation", b"a", "straße".encode(), b"xqzvkjw", "\u00a0x".encode()]
+    ids, sizes = lm.subwords(tokens, RANKS, PATTERN)
+    encoder, ends = bpe._encoder(RANKS, PATTERN), np.cumsum(sizes)
+    assert [encoder.decode_bytes(ids[e - n : e].tolist()) for n, e in zip(sizes, ends)] == [b" " + t for t in tokens] and max(sizes) > 2
+
+
 def test_attention_is_causal_and_its_gradient_is_right():
     r = np.random.default_rng(1)
     model = lm.Attention(20, 6)
