@@ -199,6 +199,12 @@ def test_lm_unseen_words_keep_their_counted_probability(spark):
     assert len(got) == 60 and all(x.n_known == 1 for x in got) and max(end) - min(end) < 1e-6 and min(end) > -4  # the end alone is judged
 
 
+def test_lm_scores_texts_without_words(spark):
+    for known in (True, False):
+        got = lm.score(frame(spark, [(1, None), (2, " \t"), (None, "")]), F.lit(known), RANKS, PATTERN).collect()
+        assert [(x.n_tokens, x.n_known, x.train_tokens) for x in got] == [(1, int(known), 3 * known)] * 3 and all(math.isfinite(x.score) for x in got)
+
+
 def test_lm_words_have_all_their_subwords():
     tokens = [b"internationalisation", b"a", "straße".encode(), b"xqzvkjw", "\u00a0x".encode()]
     ids, sizes = lm.subwords(tokens, RANKS, PATTERN)
